@@ -15,5 +15,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillstone.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing}
 ORACLE_SQL: dict[str, str] = {}
