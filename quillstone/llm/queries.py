@@ -23,5 +23,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing}
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.substrings import removals
+
+    return removals(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings}
 ORACLE_SQL: dict[str, str] = {}
