@@ -29,5 +29,13 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from quillstone.llm.bpe import encode
+
+    return encode(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
