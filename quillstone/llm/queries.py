@@ -9,6 +9,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.quality import quality
+
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.language import language_id
+
+    return language_id(_documents(spark, sf_dir))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.simhash import near_duplicates
 
@@ -37,5 +49,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe}
+QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe, "op1_quality": op1_quality, "op8_language": op8_language}
 ORACLE_SQL: dict[str, str] = {}
