@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,30 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir))
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.spotsigs import fingerprint_edits
+
+    return fingerprint_edits(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.chat import format_log, log_of_rows, read_back
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string"))
+    read = read_back(format_log(log_of_rows(rows)))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(lines.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.simhash import near_duplicates
 
@@ -49,5 +73,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe, "op1_quality": op1_quality, "op8_language": op8_language}
+QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe, "op1_quality": op1_quality, "op8_language": op8_language, "op2_spotsigs": op2_spotsigs, "op3_chat": op3_chat}
 ORACLE_SQL: dict[str, str] = {}
