@@ -119,16 +119,16 @@ def nearest(table: DataFrame, is_query, k: int = 10, shard_rows: int = SHARD_ROW
     learned = Codes(np.array([r[0] for r in drawn]), k)
     shards = -(-n // shard_rows)
 
-    def index(key, batches):
-        rows = [(e.as_py(), i.as_py()) for b in batches for e, i in zip(b.column("embedding"), b.column("ids"))]
-        x = np.array([r[0] for r in rows])
-        size = np.array([len(r[1]) for r in rows], np.int64)
-        flat = np.concatenate([r[1] for r in rows]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (x, learned.encode(x), size, flat))], ["shard", "x", "codes", "size", "ids"])
-
-    def block(key, batches):
-        rows = [(i.as_py(), e.as_py()) for b in batches for i, e in zip(b.column("vec_id"), b.column("embedding"))]
-        yield pa.RecordBatch.from_arrays([pa.array([np.array([r[0] for r in rows], np.int64).tobytes()], pa.binary()), pa.array([np.array([r[1] for r in rows]).tobytes()], pa.binary())], ["query_ids", "q"])
+    def index(key, table):
+        x = np.array(table.column("embedding").to_pylist())
+        ids = table.column("ids").to_pylist()
+        size = np.array([len(i) for i in ids], np.int64)
+        flat = np.concatenate(ids).astype(np.int64)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32())} | {c: pa.array([v.tobytes()], pa.binary()) for c, v in (("x", x), ("codes", learned.encode(x)), ("size", size), ("ids", flat))})
+
+    def block(key, table):
+        ids, q = np.array(table.column("vec_id").to_pylist(), np.int64), np.array(table.column("embedding").to_pylist())
+        return pa.table({"query_ids": pa.array([ids.tobytes()], pa.binary()), "q": pa.array([q.tobytes()], pa.binary())})
 
     by_shard = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
     indexed = by_shard.groupBy("shard").applyInArrow(index, "shard int, x binary, codes binary, size binary, ids binary")
