@@ -73,11 +73,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.katz import score
+
+    return score(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillstone.llm.neighbours import nearest
 
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe, "op1_quality": op1_quality, "op8_language": op8_language, "op2_spotsigs": op2_spotsigs, "op3_chat": op3_chat, "op7_neighbours": op7_neighbours}
+QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe, "op1_quality": op1_quality, "op8_language": op8_language, "op2_spotsigs": op2_spotsigs, "op3_chat": op3_chat, "op7_neighbours": op7_neighbours, "op6_katz": op6_katz}
 ORACLE_SQL: dict[str, str] = {}
