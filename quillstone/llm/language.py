@@ -110,8 +110,9 @@ def profiles(train: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
 
 
 def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: bool = False) -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row; all columns of ``docs`` first with ``keep``."""
+    """``doc_id, lang_pred, score`` for each row; with ``keep`` all columns of ``docs``, then ``quillstone_lang`` and ``quillstone_score``."""
     names, protos = learned
+    new = ["quillstone_lang", "quillstone_score"] if keep else ["lang_pred", "score"]
     shared = docs.sparkSession.sparkContext.broadcast((names, protos))  # a vector of fixed length for each language
     given = docs if keep else docs.select("doc_id", "text")
     stay = [c for c in given.columns if keep or c != "text"]
@@ -129,9 +130,9 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: bool
                 best, score = np.zeros(len(has), int), np.zeros(len(has))
             known = has & bool(len(names))
             got = [pa.array(labels[np.where(known, best, len(names))].tolist(), pa.string()), pa.array(np.where(known, score, 0.0))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stay), *got], [*stay, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stay), *got], [*stay, *new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in stay), "lang_pred string, score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in stay), f"{new[0]} string, {new[1]} double"])
     return given.mapInArrow(run, schema)
 
 
@@ -144,3 +145,9 @@ def language_id(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``, learned from the rows that are not held out."""
     learned = profiles(docs.where(~held_out()).select("doc_id", "text", "lang"), per_language)
     return identify(docs, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows whose text has a language; all columns stay."""
+    learned = profiles(docs.where(~held_out()).select("doc_id", "text", "lang"), per_language)
+    return identify(docs, learned, keep=True).where(F.col("quillstone_lang") != UNKNOWN).select(*docs.columns)

@@ -136,7 +136,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 3, bits: int =
 
 
 def score(docs: DataFrame, weights: np.ndarray, keep: bool = False, bits: int = BITS) -> DataFrame:
-    """``doc_id, score`` for each row; all columns of ``docs`` first with ``keep``."""
+    """``doc_id, score`` for each row; with ``keep`` all columns of ``docs``, then ``quillstone_score``."""
+    new = "quillstone_score" if keep else "score"
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed length
     given = docs if keep else docs.select("doc_id", "text")
     stay = [c for c in given.columns if keep or c != "text"]
@@ -149,9 +150,9 @@ def score(docs: DataFrame, weights: np.ndarray, keep: bool = False, bits: int =
             size = np.maximum(np.bincount(owners, minlength=n), 1)
             logit = SCALE * np.bincount(owners, w[hashes], minlength=n) / size + w[-1]
             got = pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stay), got], [*stay, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in stay), got], [*stay, new])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in stay), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name in stay), f"{new} double"])
     return given.mapInArrow(run, schema)
 
 
@@ -164,3 +165,9 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
     """``doc_id, held_out, score, predicted``."""
     weights = fit(labelled_texts(docs, labels), sample)
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """The rows that score ``threshold`` or more; all columns stay."""
+    weights = fit(labelled_texts(docs, labels), sample)
+    return score(docs, weights, keep=True).where(F.col("quillstone_score") >= threshold).select(*docs.columns)

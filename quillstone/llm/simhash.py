@@ -46,16 +46,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, the columns ``more``, and ``fp``: the fingerprint as a signed long."""
 
     def run(batches):
         for batch in slices(batches, "text"):
             got = [fingerprint(x, shingle, seed) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(np.array(got, np.uint64).view(np.int64))], ["doc_id", *more, "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", *more))
+    return docs.select("doc_id", "text", *more).mapInArrow(run, f"{kinds}, fp long")
 
 
 def covering_masks(radius: int, bits: int = 64) -> list[int]:
@@ -94,14 +94,29 @@ def links(distinct: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> Dat
     return near.unionByName(star).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, fingerprint`` (16 hex digits)``, component_id`` (smallest reachable doc_id)."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprints(docs, shingle, seed, id_col, text_col))
+def _labelled(fps: DataFrame, scratch: Scratch, radius: int) -> DataFrame:
+    """Rows ``fp, doc_id, ...`` with their ``component`` (a fingerprint) and ``component_id``."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
     edges = scratch.keep(links(distinct.select("fp"), radius))
     found = connected_components(edges)
     named = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    label = named.join(lowest, "component").select("fp", "component_id")
-    return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named.join(lowest, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint`` (16 hex digits)``, component_id`` (smallest reachable doc_id)."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.keep(fingerprints(docs, shingle, seed))
+    return _labelled(fps, scratch, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row of each group of near duplicates, the one of smallest doc_id; all columns stay."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    fps = scratch.keep(fingerprints(docs.select("doc_id", "text", mark.alias("quillstone_mark")), shingle, seed, more=("quillstone_mark",)))
+    kept = _labelled(fps, scratch, radius).groupBy("component").agg(F.min(F.struct("doc_id", "quillstone_mark")).alias("k")).select(F.col("k.doc_id").alias("quillstone_id"), "k.quillstone_mark")
+    marked = docs.withColumn("quillstone_mark", mark)
+    chosen = marked.join(kept, marked["doc_id"].eqNullSafe(kept["quillstone_id"]) & (marked["quillstone_mark"] == kept["quillstone_mark"]), "left_semi")
+    return chosen.dropDuplicates(["doc_id", "quillstone_mark"]).select(*docs.columns)
