@@ -79,10 +79,16 @@ def plain_markdown(text: Column) -> Column:
 
 def plain_server_markdown(text: Column) -> Column:
     """Markdown without headings, links, quote marks, emphasis, escapes; three line ends or more become two."""
-    steps = [(r"(?m)^#{1,6}[ \t]+", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^>[ \t]?", ""), (r"\*{1,3}([^*\n]+)\*{1,3}", "$1"), (r"\\([\\`*_{}\[\]()#+.!>-])", "$1"), (r"\n{3,}", "\n\n")]
+    steps = [
+        (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+        (r"(?m)^[ \t]*(?:#{1,6}|>)[ \t]?", ""),
+        (r"(?U)\*\*|__|(?<!\w)[*_](?=\S)|(?<=\S)[*_](?!\w)", ""),
+        (r"\\([\\`*_{}\[\]()#+\-.!>])", "$1"),
+        (r"\n{3,}", "\n\n"),
+    ]
     for pattern, new in steps:
         text = F.regexp_replace(text, pattern, new)
-    return F.trim(text)
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def plain_html(html: Column) -> Column:

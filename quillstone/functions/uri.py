@@ -160,5 +160,5 @@ def swedish_date(text: Column) -> Column:
     months = "januari februari mars april maj juni juli augusti september oktober november december".split()
     p = r"(?iu)(\d{1,2})\s+(" + "|".join(months) + r")\s+(\d{4})"
     number = F.array_position(F.array(*map(F.lit, months)), F.lower(F.regexp_extract(text, p, 2))).cast("int")
-    day, year = F.regexp_extract(text, p, 1).try_cast("int"), F.regexp_extract(text, p, 3).try_cast("int")
-    return F.when(number > 0, F.try_make_date(year, number, day) if hasattr(F, "try_make_date") else F.make_date(year, number, day)).otherwise(F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0).try_cast("date"))
+    day = F.concat_ws("-", F.regexp_extract(text, p, 3), F.lpad(number.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, p, 1), 2, "0"))
+    return F.when(number > 0, day.try_cast("date")).otherwise(F.regexp_extract(text, r"\d{4}-\d{2}-\d{2}", 0).try_cast("date"))

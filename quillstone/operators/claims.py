@@ -34,7 +34,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
 _LEANS = re.compile(r"(?i)^(?:han|hon)\b|^(?:detta|det|den|de)\s+(?:är|var|ska|kan|gäller|följer|innebär)\b")
 _IMPERSONAL = re.compile(r"(?i)^det\s+(?:är|var|ska|kan|bör|måste)\s+(?:\w+\s+){0,2}att\b")
 _SIGNALS = re.compile(r"(?i)(?<!\w)(?:se|jfr|även|bl|a|t|ex|och)(?!\w)|(?:detta|det)\s+följer\s+(?:även\s+|också\s+)?(?:av|enligt)")
-_FRAMES = re.compile(r"(?i)^(?:enligt|av|i)\s*,?\s*(?:framgår|följer|gäller|anges|sägs)?\s*(?:att\s+)?|^(?:högsta domstolen|hd|hfd|domstolen)\s+(?:fann|ansåg|uttalade|konstaterade)\s+att\s+")
+_FRAMES = re.compile(r"(?i)^(?:(?:av|enligt)\s+\S+\s+)?(?:det\s+)?(?:framgår|följer|gäller|anges)\s+att\s+|^(?:högsta domstolen|hd|hfd|domstolen)\s+(?:fann|ansåg|uttalade|konstaterade)\s+att\s+")
 
 
 def claim_around(text: str, start: int, end: int, cited: list[tuple[int, int]]) -> tuple[int, int] | None:

@@ -89,7 +89,8 @@ def numbered_sentences(spark: SparkSession, path: str) -> DataFrame:
 
 def own_part(text: Column, begin: str, end: str) -> Column:
     """What stands between a line that begins a part and one that ends it."""
-    return F.trim(F.regexp_extract(text, rf"(?ms)^{re.escape(begin)}[^\n]*\n(.*?)(?:^{re.escape(end)}|\z)", 1))
+    part = F.regexp_extract(text, rf"(?ms)^{re.escape(begin)}[^\n]*\n(.*?)(?:^{re.escape(end)}|\z)", 1)
+    return F.regexp_replace(part, r"^\s+|\s+$", "")
 
 
 def input_problems(blocks: DataFrame) -> DataFrame:

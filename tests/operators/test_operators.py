@@ -1,0 +1,129 @@
+import json
+import struct
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillstone.operators import calibration as C, claims as K, components as G, dataset as D, families as M, lookup as L, policy as P, retrieval as R, spans as S, structure as X
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7), (200, 200), (None, 3), (300, 301), (300, 301)]
+    got = {r.node: r.component for r in G.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100, 200: 200, 300: 300, 301: 300}
+    assert G.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_greedy_fill(spark):
+    def fill(costs, budget):
+        return spark.range(1).select(R.greedy_fill(F.array(*map(F.lit, costs)), budget).alias("x")).first().x
+
+    assert fill([500, 10], 380) == [0] and fill([300, 200, 80, 5], 380) == [0, 2] and fill([100, 300, 200, 80], 380) == [0, 2, 3]
+
+
+def test_chunks(spark):
+    long = " ".join(f"Mening nummer {i} har ett antal ord i sig här." for i in range(60))
+    d = spark.createDataFrame([(1, "Kort rubrik som är lång\n\n" + "x" * 130 + "\n\n" + long), (2, None), (3, "tunn")], "doc_id long, text string")
+    rows = R.chunks(d).orderBy("doc_id", "p", "k").collect()
+    assert [r.p_idx for r in rows if r.doc_id == 1][:3] == [0, 1, 200] and all(len(r.text) >= 800 for r in rows if r.p == 2 and r.doc_id == 1 and r.k < 2)
+    assert " ".join(r.text for r in rows if r.doc_id == 1 and r.p == 2) == long
+    merged = [r.text for r in R.merge_short(d).where("doc_id = 1").orderBy("index").collect()]
+    assert merged[0] == "Kort rubrik som är lång\n\n" + "x" * 130
+
+
+def test_bm25_multiplicity(spark):
+    q = spark.createDataFrame([(1, "a a b")], "query_id long, text string")
+    d = spark.createDataFrame([(1, "a b c"), (2, "b"), (3, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in R.bm25(q, d).collect()}
+    once = {r.doc_id: r.score for r in R.bm25(spark.createDataFrame([(1, "a b")], "query_id long, text string"), d).collect()}
+    assert got[1] > once[1] and got[2] == once[2] and set(got) == {1, 2}
+
+
+def test_spans(spark):
+    s = spark.createDataFrame([(1, 1, 0, 5), (1, 2, 2, 9), (1, 3, 6, 8), (1, 4, 0, 3)], "k long, id long, start long, end long")
+    assert sorted(r.id for r in S.outermost(s, ["k"]).collect()) == [1, 3]
+    parts = S.segments(s, ["k"]).orderBy("start").collect()
+    assert [(r.start, r.end, r.ids) for r in parts] == [(0, 2, [1, 4]), (2, 3, [1, 2, 4]), (3, 5, [1, 2]), (5, 6, [2]), (6, 8, [2, 3]), (8, 9, [2])]
+    t = s.withColumn("targets", F.array("id"))
+    assert len(S.merge_adjacent(t, ["k"]).collect()) == 4
+
+
+def test_thresholds(spark):
+    rows = [(i, [0.9, 0.1], 0) for i in range(40)] + [(100 + i, [0.6, 0.4], 1) for i in range(20)] + [(200, [0.2, 0.8], 1)]
+    frame = C.predictions(spark.createDataFrame(rows, "id long, probs array<double>, target int"))
+    got = {r["class"]: r for r in C.fail_closed_thresholds(frame, 2, 0.9, least=30).collect()}
+    assert got[0].threshold == 0.9 and got[0].accepted == 40 and got[0].reason is None
+    assert got[1].threshold == C.DISABLED and got[1].reason == "insufficient_accepted_examples"
+    strict = {r["class"]: r.reason for r in C.fail_closed_thresholds(frame, 2, 0.99, least=30).collect()}
+    assert strict[0] == "wilson_bound_unmet"
+    logits = spark.createDataFrame([([2.0, 0.0], 0), ([2.0, 0.0], 0), ([2.0, 0.0], 0), ([2.0, 0.0], 1)], "logits array<double>, target int")
+    assert C.fit_temperature(logits) == pytest.approx(2 / 1.0986, rel=0.02)
+
+
+def test_policies(spark):
+    s = spark.createDataFrame([(1, 0, 0.95, 0.03, 0.02), (2, 0, 0.95, 0.0, 0.05), (2, 1, 0.1, 0.1, 0.8), (3, 0, 0.02, 0.03, 0.95), (4, 0, 0.1, 0.85, 0.05), (5, 0, 0.75, 0.2, 0.05)], "id long, index int, entailment double, neutral double, contradiction double")
+    assert {r.id: r.status for r in P.three_label(s, ["id"]).collect()} == {1: "correct", 2: "abstain", 3: "incorrect", 4: "missing", 5: "abstain"}
+    f = spark.createDataFrame([(1, "found"), (1, "invalid"), (2, "found"), (2, "strange"), (3, "pending")], "id long, status string")
+    assert {r.id: r.status for r in P.severity(f, ["id"]).collect()} == {1: "invalid", 2: "found", 3: "pending"}
+
+
+def test_dataset(spark):
+    src = "array<struct<citation:string,source_id:string,document_id:string,text:string>>"
+    rows = [("a", "train", "Claim", [("NJA (intilliggande)", "s1", "d1", "t")], "supported", "o1", "c1"), ("a", "test", "Claim", [("NJA (intilliggande)", "s1", "d1", " t ")], "incorrect", "d1", "c2")]
+    found = D.audit(spark.createDataFrame(rows, f"id string, split string, claim string, sources {src}, label string, origin_document_id string, origin_claim_id string"))
+    assert {k: v.count() for k, v in found.items()} == {"synthetic_label_marker": 2, "conflicting_exact_pairs": 1, "duplicate_row_ids": 1, "partition_leakage": 4, "origin_source_cross_role": 1}
+    assert D.pack_components([("a", 6), ("b", 3), ("c", 1)], {"x": 0.5, "y": 0.5}) == {"a": "x", "b": "y", "c": "y"}
+    kept = spark.range(1).select(D.drop_covered(F.array(*map(F.lit, ["1:1#K2", "1:1#K2P3", "2:2", "2:2#P1", "3:3"]))).alias("x")).first().x
+    assert kept == ["1:1#K2P3", "2:2#P1", "3:3"]
+
+
+def test_structure(spark):
+    md = "## [1 kap.](#K1)\n\n**1 §** Ett.\n\n**2 §** Två.\n\n## [2 kap.](#K2)\n\n**1 §** Tre.\n\nMer.\n\n### R\n\n**1 a §** Fyra."
+    assert X.slice_provision(md, "K2P1") == "**1 §** Tre.\n\nMer." and X.slice_provision(md, "K2P1a") == "**1 a §** Fyra." and X.slice_provision(md, "P2") == "**2 §** Två." and X.slice_provision(md, "K9P1") is None
+    doc = "# NJA 2013 s. 502\n\nReferat.\n\n## Högsta domstolen\n\n### Domskäl\n\nSkäl ett.\n\n### Domslut\n\nAvslag.\n\nLagrum: 1 §"
+    rows = X.judgment_paragraphs(spark.createDataFrame([(1, doc)], "doc_id long, text string")).orderBy("n").collect()
+    assert [(r.court, r.role, r.text) for r in rows][1:] == [("högsta domstolen", "reasoning", "Skäl ett."), ("högsta domstolen", "decision", "Avslag."), ("högsta domstolen", "metadata", "Lagrum: 1 §")]
+    text = "📄 a \r\n\r\n b  c"
+    new, at = X.whitespace_with_offsets(text)
+    assert new == "📄 a\n\nb c" and all(text[at[i]] == c for i, c in enumerate(new) if not c.isspace()) and len(at) == len(new) + 1
+    record = b"LUR1\x10" + struct.pack(">I", 2) + struct.pack(">IHI", 7, 3, 0xFFFFFFFF) + b"a#1" + struct.pack(">IHI", 9, 1, len(z := zlib.compress(b"hej", wbits=-15))) + b"b" + z
+    assert X.parse_units(record) == [(7, "a#1", None), (9, "b", "hej")] and X.murmur64(0) == 0
+    tree = json.dumps({"type": "dom", "text": "A", "children": [{"type": "p", "text": ["b", {"text": "c"}]}, {"type": "p", "text": ""}]})
+    frame = spark.createDataFrame([(1, tree), (2, None)], "doc_id long, tree string")
+    assert [r.x for r in frame.select(X.tree_text("tree").alias("x")).collect()] == ["A\n\nbc", None]
+    assert [(r.node_id, r.parent_id, r.text) for r in X.flatten_tree(frame).orderBy("node_id").collect()] == [(0, None, "A"), (1, 0, "bc"), (2, 0, "")]
+    items = [("Rad", 10.0, 0.0, 100.0), ("ett", 10.0, 20.0, 100.5), ("Rad två", 10.0, 0.0, 88.0), ("Nytt", 10.0, 0.0, 60.0)]
+    assert X.page_text(items) == "Rad ett Rad två\n\nNytt"
+    html = spark.createDataFrame([(1, "<h1>R</h1><p>a <b>b</b></p><ol><li>x</li><li>y</li></ol>"), (2, None)], "page_id long, html string")
+    assert [(r.kind, r.label, r.marker, r.text) for r in X.html_blocks(html).orderBy("ord").collect()] == [("heading", "", "", "R"), ("paragraph", "R", "", "a b"), ("item", "R", "1.", "x"), ("item", "R", "2.", "y")]
+
+
+def test_claims(spark):
+    text = "Avtalet är ogiltigt. Det gäller även här (se 1 § avtalslagen). Slut."
+    at = text.index("1 §")
+    assert text[slice(*K.claim_around(text, at, at + 16, [(at, at + 16)]))].strip() == "Avtalet är ogiltigt. Det gäller även här (se 1 § avtalslagen)."
+    text = "Köparen ska betala. Se 2 § köplagen."
+    at = text.index("2 §")
+    assert K.claim_around(text, at, at + 12, [(at, at + 12)])[0] == 0
+    assert K.hypothesis("Avtalet gäller (se 1 § avtalslagen).", ["1 § avtalslagen"]) == "Avtalet gäller."
+    sources = [{"citation": "A", "text": "\n\n".join(f"Stycke {i} om {'hyra' if i == 15 else 'annat'} " + "ord " * 40 for i in range(30))}]
+    rows = spark.createDataFrame([("r1", "Hyra ska betalas", sources), ("r2", "Hyra", [{"citation": "B", "text": "kort"}])], "row_id string, claim string, sources array<struct<citation:string,text:string>>")
+    got = {r.row_id: r.premise for r in K.windows(rows).collect()}
+    assert got["r2"] == "[Källa 1: B]\nkort" and "Stycke 15" in got["r1"] and len(got["r1"].split()) < 300
+    full = rows.withColumn("unresolved", F.lit(False)).unionByName(spark.createDataFrame([("r3", "Avtalet är bindande här", [], False), ("r4", "", [], False)], "row_id string, claim string, sources array<struct<citation:string,text:string>>, unresolved boolean"))
+    reasons = {r.row_id: r.reason for r in K.verdicts(full).collect()}
+    assert reasons["r3"] == "no_sources" and reasons["r4"] == "empty" and len(reasons) == 4
+
+
+def test_families_and_lookup(spark):
+    u = spark.createDataFrame([("prop/1:2#sid9", "prop/1:2#sid10"), ("1:1#K2P3", "1:1#K2P4"), ("dom/nja/1s2#p7", "dom/nja/1s2#p8"), ("coe/005", None)], "s string, w string")
+    assert all(r.w == r.g for r in u.select("w", M.adjacent_unit(F.col("s")).alias("g")).collect())
+    d = M.teacher_decision(F.lit("a"), F.lit("b"), F.lit(0.9), F.lit(None), F.lit(None))
+    assert spark.range(1).select(d.alias("d")).first().d.decision == "reject"
+    rows = spark.createDataFrame([(1, "avtalslagen 3 §"), (2, "avtalslagens")], "id long, t string")
+    aliases = spark.createDataFrame([("avtalslagen",), ("avtalslagen 3",)], "alias string")
+    assert [(r.id, r.alias) for r in L.longest_prefix(rows, "t", "id", aliases).collect()] == [(1, "avtalslagen 3")]
+    w = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, w int")
+    a, b = (sorted(map(tuple, L.fillers(w, "k", "w", 10, "s").collect())) for _ in range(2))
+    assert a == b and len({k for k, _ in a}) == 10
