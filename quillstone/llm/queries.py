@@ -86,4 +86,19 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing, "op9_substrings": op9_substrings, "op10_bpe": op10_bpe, "op1_quality": op1_quality, "op8_language": op8_language, "op2_spotsigs": op2_spotsigs, "op3_chat": op3_chat, "op7_neighbours": op7_neighbours, "op6_katz": op6_katz}
-ORACLE_SQL: dict[str, str] = {}
+_CHAT = r"""([<\[])(\\*)(\|[A-Za-z0-9_ /:.-]{0,60}\|>|/?(?:s|bos|eos|pad|unk|mask|start_of_turn|end_of_turn)>|</?SYS>>|/?INST\])"""
+
+#: The other operators hash, train or tokenise in ways that SQL has no words for; tests compare them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+ sum(23 + length(regexp_replace(role, '{_CHAT}', '\1\\\2\3', 'g')) + length(regexp_replace(text, '{_CHAT}', '\1\\\2\3', 'g'))) AS n FROM r GROUP BY conv_id)
+ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(n AS BIGINT) AS formatted_chars FROM g""",
+    "op9_substrings": r"""WITH w AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents)),
+ a AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER f AS s, count(*) OVER f AS n FROM w WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+ again AS (SELECT s FROM a WHERE n = 35 GROUP BY s HAVING count(*) > 1), h AS (SELECT a.doc_id, a.i, a.word, CASE WHEN again.s IS NULL THEN 0 ELSE 1 END AS hit FROM a LEFT JOIN again ON a.s = again.s AND a.n = 35),
+ c AS (SELECT doc_id, i, word, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM h),
+ g AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN g USING (doc_id)""",
+}
