@@ -13,6 +13,7 @@ mapped back, and nothing carries over from one document to the next.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -100,6 +101,7 @@ _NUM = rf"\d+(?:{_S}?[a-h](?![\w]))?"
 _JOIN = rf"(?:{_S}*(?:,|–|-|och|eller|samt){_S}*)"
 _ORD = "|".join(ORDINALS)
 _SFS = r"\d{4}:\d+"
+_ENGLISH = re.compile(r"\b(?:[Cc]h(?:apter|\.)\s*(\d+),?\s*)?(?:[Ss]ection|s\.)\s*(\d+(?:\s?[a-z]\b)?)(?:,?\s*para\.\s*(\d+))?")
 
 
 class Scanner:
@@ -114,6 +116,7 @@ class Scanner:
         any_of = lambda names: "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) or "(?!)"
         law = rf"(?:(?P<lawname>(?i:{any_of(self.laws)}))(?:{_S}*\((?P<lawno>{_SFS})\))?|(?P<lawkind>(?i:\w*(?:lag(?:en)?|förordning(?:en)?|kungörelsen?|balken)))?{_S}*\((?P<sfs>{_SFS})\)|(?P<same>samma{_S}lag)|(?P<abbr>(?-i:[A-ZÅÄÖ][A-Za-zÅÄÖåäö]{{1,5}})(?!\w)))"
         tail = rf"(?:{_S}+(?P<piece>{_ORD}){_S}+stycket)?(?:{_S}+(?P<item>\d+|[a-z]){_S}?(?:p\.?|punkten)(?!\w))?(?:{_S}+(?P<sentence>{_ORD}){_S}+meningen)?"
+        self.named = re.compile(any_of(self.laws), re.I)
         self.patterns: list[tuple[str, re.Pattern]] = []
 
         def add(kind: str, pattern: str, flags: int = 0) -> None:
@@ -284,12 +287,14 @@ class Scanner:
 
     def _pinpoints(self, text: str, refs: list[Ref]) -> Iterator[Ref]:
         """Chapter and section after a statute, at most six separators away."""
-        ends = [(r.end, r.uri) for r in refs if re.fullmatch(_SFS, r.uri)] + [(m.end(), self.laws[m[0].lower()]) for m in re.finditer("|".join(re.escape(n) for n in self.laws) or "(?!)", text, re.I)]
-        pattern = re.compile(r"\b(?:[Cc]h(?:apter|\.)\s*(\d+),?\s*)?(?:[Ss]ection|s\.)\s*(\d+(?:\s?[a-z]\b)?)(?:,?\s*para\.\s*(\d+))?")
-        for m in pattern.finditer(text):
-            near = [(e, u) for e, u in ends if e <= m.start() and m.start() - e <= 6 and re.fullmatch(r"[\s,()]*", text[e : m.start()])]
-            if near and (m[1] or "ection" in m[0]):
-                yield Ref(m.start(), m.end(), statute(max(near)[1], chapter=m[1], section=m[2], piece=m[3]), "english")
+        points = [m for m in _ENGLISH.finditer(text) if m[1] or "ection" in m[0]]
+        if not points:
+            return
+        ends = sorted([(r.end, r.uri) for r in refs if re.fullmatch(_SFS, r.uri)] + [(m.end(), self.laws[m[0].lower()]) for m in self.named.finditer(text)])
+        for m in points:
+            at = bisect.bisect_right(ends, (m.start(), chr(0x10FFFF))) - 1
+            if at >= 0 and re.fullmatch(r"[\s,()]{0,6}", text[ends[at][0] : m.start()]):
+                yield Ref(m.start(), m.end(), statute(ends[at][1], chapter=m[1], section=m[2], piece=m[3]), "english")
 
     def _agency(self, m, state, text) -> Iterator[Ref]:
         g = m.groupdict()
