@@ -8,12 +8,15 @@ is absent (tests, a laptop).
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of our own, by application.
+_OWN: dict[str, str] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="quillstone-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
+            atexit.register(shutil.rmtree, _OWN[app].removeprefix("file://"), True)
+        path = _OWN[app]
     return path.rstrip("/")
 
 
