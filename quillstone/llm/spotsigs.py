@@ -29,20 +29,25 @@ ANCHORS = (
 THRESHOLD = 0.8
 
 
-def signatures(text: Column) -> Column:
-    """The sorted set of signature hashes of a text column."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+def with_signatures(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with the sorted set of signature hashes of a text column.
+
+    Each step is a column of its own that the next ones use more than once,
+    so it is computed once for a row.
+    """
     anchors = "|".join(sorted(set(ANCHORS), key=lambda x: (-len(x), x)))
+    words, glued, parts = (f"quillstone_{x}" for x in ("words", "glued", "parts"))
+    rows = rows.withColumn(words, F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")))
     # an anchor is glued to what follows it: "of~the~house stands"
-    glued = F.regexp_replace(words, rf"(?<![^ ])({anchors}) ", r"$1~")
-    parts = F.split(glued, " ", -1)
+    rows = rows.withColumn(glued, F.regexp_replace(words, rf"(?<![^ ])({anchors}) ", r"$1~"))
+    rows = rows.withColumn(parts, F.split(glued, " ", -1))
 
     def one(this: Column, after: Column) -> Column:
         return F.when(this.contains("~"), F.xxhash64(this, F.substring_index(after, "~", -1)))
 
     spots = F.array_compact(F.zip_with(parts, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), one))
-    whole = F.when(words != "", F.array(F.xxhash64(words))).when(text != "", F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(glued.contains("~"), F.sort_array(F.array_distinct(spots))).otherwise(whole)
+    whole = F.when(F.col(words) != "", F.array(F.xxhash64(words))).when(F.col(text) != "", F.array(F.xxhash64(text))).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn(out, F.when(F.col(glued).contains("~"), F.sort_array(F.array_distinct(spots))).otherwise(whole)).drop(words, glued, parts)
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -67,9 +72,11 @@ def boundaries(docs: DataFrame, parts: int) -> tuple[list, bool]:
     return sorted({*(row["at"] or []), *([] if row["low"] is None else [row["low"]])}), bool(row["null"])
 
 
-def with_next(docs: DataFrame, columns: dict[str, Column], parts: int | None = None) -> DataFrame:
+def with_next(docs: DataFrame, columns: dict[str, str], parts: int | None = None, more=lambda part: part) -> DataFrame:
     """``docs`` with ``next_<name>`` for each of ``columns``, taken from the next row by doc_id and text; the first follows the last.
 
+    ``more`` may add columns to rows that are dealt out already.
+
     The table is cut into ranges of ids, of which there are as many as
     partitions (4096 at most); the first row of each range also goes to the range before it,
     so no window spans more than a range and no row is sent twice otherwise.
@@ -88,11 +95,9 @@ def with_next(docs: DataFrame, columns: dict[str, Column], parts: int | None = N
     around = F.struct(F.lit(last).alias("range"), F.lit(2).alias("guest"))
     homes = F.array_compact(F.array(own, F.when((place > 0) & F.array_contains(at, F.col("doc_id")), before), F.when(first, around)))
     spread = docs.withColumn("home", F.explode(homes)).select(*docs.columns, "home.range", "home.guest").repartition("range")
-    full = spread.select("*", *(c.alias(f"next_{k}") for k, c in columns.items()))
     order = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
-    # a window column of its own name: lead looks one row on
-    moved = full.select(*docs.columns, "guest", *(c.alias(k) for k, c in ((k, F.col(f"next_{k}")) for k in columns)), *(F.lead(f"next_{k}").over(order).alias(f"next_{k}") for k in columns))
-    return moved.where("guest = 0").drop("guest")
+    moved = more(spread).select("*", *(F.lead(c).over(order).alias(f"next_{k}") for k, c in columns.items()))
+    return moved.where("guest = 0").drop("guest", "range")
 
 
 def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -102,12 +107,12 @@ def fingerprint_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     many from the start of the next document.
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(given, {"body": F.col("text"), "sigs": signatures(F.col("text"))}, parts)
+    rows = with_next(given, {"body": "text", "sigs": "sigs"}, parts, lambda part: with_signatures(part, "text", "sigs"))
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_body", F.lit(1), k))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited"))
-    rows = rows.select("*", signatures(F.col("edited")).alias("edited_sigs"))
+    rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id",
         "n_chars",
@@ -128,7 +133,8 @@ def similar_sets(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     share one of their rarest signatures are compared: a set of n has to
     share at least one of its n - ceil(threshold * n) + 1 rarest.
     """
-    sets = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs")).withColumn("fp", fingerprint(F.col("sigs")))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sets = with_signatures(texts, "text", "sigs").select("doc_id", "sigs").withColumn("fp", fingerprint(F.col("sigs")))
     named = sets.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.first("sigs").alias("sigs"))
     members = sets.select("doc_id", "fp").join(named.select("fp", "class_id"), "fp").select("doc_id", "class_id")
     some = named.where(F.size("sigs") > 0).select("class_id", "sigs", F.size("sigs").alias("n"))
