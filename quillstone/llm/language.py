@@ -91,9 +91,12 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def profiles(train: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages in order of name and their unit vectors, from rows ``doc_id, text, lang``."""
     train = train.where("lang is not null and text is not null")
-    share = train.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    # one number for each language, sent along as a literal: no text is shuffled by language
+    share = {r[0]: min(1.0, per_language / r[1]) for r in train.groupBy("lang").count().collect()}
+    if not share:
+        return [], np.zeros((0, DIMENSIONS), np.float32)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("profile")), F.lit(1 << 30)) / float(1 << 30)
-    picked = train.join(share, "lang").where(draw < F.col("share")).select("text", "lang")
+    picked = train.where(draw < F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]), F.col("lang"))).select("text", "lang")
 
     def run(batches):
         for batch in slices(batches, "text", 1_000_000):
