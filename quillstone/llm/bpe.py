@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from quillstone.llm.arrowtext import slices
 
 #: Cached words of a worker in each of two generations; results do not depend on it.
-CACHED = 150_000
+CACHED = 400_000
 _BIG = np.int64(1) << np.int64(40)
 _NEVER = 1 << 60
 _BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
