@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions.numbers import hash_share
 from quillstone.operators.components import connected_components
+from quillstone.storage import Scratch
 
 # The four labels, and the longest pair.
 LABELS = ("supported", "unsupported", "incorrect", "misleading")
@@ -80,10 +82,10 @@ def component_of(edges: DataFrame, left: str, right: str, strict: bool = False)
 def pack_components(sizes: list[tuple], ratios: dict[str, float]) -> dict:
     """Components, largest first, each to the split with the least share of its target; ties in order of declaration.
 
-    ``sizes`` has a row for each component and stays on the driver, like the ratios: ``split_components`` bounds it.
+    ``sizes`` has a row for each component; ``split_components`` does the same to a table of any length.
     """
     total = sum(n for _, n in sizes)
-    target = {p: max(total * r, 1) for p, r in ratios.items()}
+    target = _targets(total, ratios)
     filled = dict.fromkeys(ratios, 0)
     out = {}
     for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
@@ -93,19 +95,75 @@ def pack_components(sizes: list[tuple], ratios: dict[str, float]) -> dict:
     return out
 
 
-def split_components(sizes: DataFrame, ratios: dict[str, float], most: int = 200_000) -> DataFrame:
-    """``component, n, split`` from ``component, n``.
+def _targets(total: int, ratios: dict[str, float]) -> dict[str, float]:
+    return {p: max(total * r, 1) for p, r in ratios.items()}
 
-    Components of equal size are alike, so the packing works on the table of
-    sizes: at most ``most`` of the largest are placed one by one, and the rest,
-    each far below a split's tolerance, by hash.
+
+def advance(filled: dict[str, int], target: dict[str, float], n: int, times: int) -> dict[str, int]:
+    """What the splits hold once ``times`` more components of size ``n`` are packed.
+
+    The greedy rule merges the splits' rising fill shares, so any set of
+    placements that are among the next ``times`` can go first.  Filling up to a
+    common level gives each split's number but for one a split; all but so many
+    are placed at once, and the rule itself places the rest.
+    """
+    filled, most = dict(filled), len(filled)
+    if not n:
+        return filled
+    order = sorted(filled, key=lambda p: filled[p] / target[p])
+    for k in range(1, most + 1):
+        level = (sum(filled[p] for p in order[:k]) + n * times) / sum(target[p] for p in order[:k])
+        if k == most or level <= filled[order[k]] / target[order[k]]:
+            break
+    for p in order[:k]:
+        sure = max(0, int((level * target[p] - filled[p]) / n) - most - 1)
+        filled[p] += sure * n
+        times -= sure
+    for _ in range(times):
+        filled[min(filled, key=lambda p: filled[p] / target[p])] += n
+    return filled
+
+
+def split_components(sizes: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    """``component, n, split`` from ``component, n``: every component placed as ``pack_components`` does.
+
+    Components are dealt by range in packing order.  Those of one size are
+    alike, so the driver works out what the splits hold where each part begins
+    from the number of components of each size (at most about the root of twice
+    the rows); each part then goes on from there, row by row.
     """
     spark = sizes.sparkSession
-    top = sizes.orderBy(F.desc("n"), "component").limit(most).collect()  # bounded
-    placed = pack_components([(r["component"], r["n"]) for r in top], ratios)
-    named = spark.createDataFrame(list(placed.items()), f"component {sizes.schema['component'].dataType.simpleString()}, packed string") if placed else None
-    joined = sizes.join(named, "component", "left") if named is not None else sizes.withColumn("packed", F.lit(None).cast("string"))
-    return joined.select("component", "n", F.coalesce("packed", hash_partition(F.col("component"), ratios, "component")).alias("split"))
+    order = [F.desc("n"), F.asc_nulls_last("component")]
+    kept = Scratch(spark, "split").keep(sizes.select("component", F.col("n").cast("long").alias("n")).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    classes = sorted(kept.groupBy("n").agg(F.count("*").alias("k")).collect(), reverse=True)
+    parts = sorted(kept.groupBy("part").agg(F.count("*").alias("k")).collect())
+    target = _targets(sum(n * k for n, k in classes), ratios)
+    first, at = [], 0
+    for part, k in parts:
+        first.append((at, part))
+        at += k
+    starts, filled, at = {}, dict.fromkeys(ratios, 0), 0
+    for n, k in classes:
+        while len(starts) < len(first) and first[len(starts)][0] < at + k:
+            begin, part = first[len(starts)]
+            starts[part] = advance(filled, target, n, begin - at)
+        filled = advance(filled, target, n, k)
+        at += k
+
+    def place(batches):
+        now, held = None, {}
+        for batch in batches:
+            split = []
+            for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+                if part != now:
+                    now, held = part, dict(starts[part])
+                best = min(held, key=lambda p: held[p] / target[p])
+                held[best] += n
+                split.append(best)
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("n"), pa.array(split, pa.string())], ["component", "n", "split"])
+
+    kind = sizes.schema["component"].dataType.simpleString()
+    return kept.repartition("part").sortWithinPartitions("part", *order).mapInArrow(place, f"component {kind}, n long, split string")
 
 
 def assert_share(sizes: DataFrame, most: float = 0.06) -> DataFrame:

@@ -1,4 +1,5 @@
 import json
+import random
 import struct
 import zlib
 
@@ -78,6 +79,25 @@ def test_dataset(spark):
     assert kept == ["1:1#K2P3", "2:2#P1", "3:3"]
 
 
+def test_split_components(spark):
+    rng = random.Random(5)
+    for ratios in ({"x": 0.5, "y": 0.25, "z": 0.25}, {"a": 0.75, "b": 0.1, "c": 0.075, "d": 0.075}, {"p": 0.62, "q": 0.38}, {"all": 1.0}):
+        sizes = [(i, int(rng.paretovariate(0.9))) for i in range(3000)]
+        target, held = D._targets(sum(n for _, n in sizes), ratios), {p: rng.randrange(400) for p in ratios}
+        for n, times in ((1, 0), (3, 1), (7, 50), (1, 2000)):
+            slow = dict(held)
+            for _ in range(times):
+                slow[min(slow, key=lambda p: slow[p] / target[p])] += n
+            assert D.advance(held, target, n, times) == slow
+        got = D.split_components(spark.createDataFrame(sizes, "component long, n long").repartition(5), ratios).collect()
+        assert {r.component: r.split for r in got} == D.pack_components(sizes, ratios) and len(got) == 3000
+    # more components than the driver could be asked to hold one by one
+    many = spark.range(300_000).select(F.col("id").alias("component"), (1 + F.pmod(F.xxhash64("id"), F.lit(3))).alias("n"))
+    want = D.pack_components([(r.component, r.n) for r in many.collect()], {"x": 0.5, "y": 0.3, "z": 0.2})
+    assert {r.component: r.split for r in D.split_components(many, {"x": 0.5, "y": 0.3, "z": 0.2}).collect()} == want
+    assert D.split_components(many.where("false"), {"x": 1.0}).collect() == []
+
+
 def test_structure(spark):
     md = "## [1 kap.](#K1)\n\n**1 §** Ett.\n\n**2 §** Två.\n\n## [2 kap.](#K2)\n\n**1 §** Tre.\n\nMer.\n\n### R\n\n**1 a §** Fyra."
     assert X.slice_provision(md, "K2P1") == "**1 §** Tre.\n\nMer." and X.slice_provision(md, "K2P1a") == "**1 a §** Fyra." and X.slice_provision(md, "P2") == "**2 §** Två." and X.slice_provision(md, "K9P1") is None
