@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstone.llm.language import keep_known
+from quillstone.llm.nearcopies import keep_dissimilar
 from quillstone.llm.packing import pack
 from quillstone.llm.quality import keep_good
-from quillstone.llm.simhash import keep_one
 from quillstone.llm.substrings import stripped
 from quillstone.storage import Scratch
 
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_dissimilar(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

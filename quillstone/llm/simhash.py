@@ -117,6 +117,10 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42)
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     fps = scratch.keep(fingerprints(docs.select("doc_id", "text", mark.alias("quillstone_mark")), shingle, seed, more=("quillstone_mark",)))
     kept = _labelled(fps, scratch, radius).groupBy("component").agg(F.min(F.struct("doc_id", "quillstone_mark")).alias("k")).select(F.col("k.doc_id").alias("quillstone_id"), "k.quillstone_mark")
-    marked = docs.withColumn("quillstone_mark", mark)
-    chosen = marked.join(kept, marked["doc_id"].eqNullSafe(kept["quillstone_id"]) & (marked["quillstone_mark"] == kept["quillstone_mark"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "quillstone_mark"]).select(*docs.columns)
+    return chosen(docs.withColumn("quillstone_mark", mark), kept).select(*docs.columns)
+
+
+def chosen(marked: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows ``doc_id, quillstone_mark, ...`` that ``kept`` names by ``quillstone_id, quillstone_mark``, once each."""
+    rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["quillstone_id"]) & (marked["quillstone_mark"] == kept["quillstone_mark"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "quillstone_mark"])
