@@ -98,20 +98,22 @@ def windows(rows: DataFrame, budget: int = 380) -> DataFrame:
     """``row_id, premise``: sources of ``row_id, claim, sources`` within the token budget.
 
     Rows that fit are only formatted; the others are ranked by BM25 over their
-    own chunks, filled greedily, and put back in order.
+    own chunks (long paragraphs in pieces), filled greedily, and put back in
+    order of source and chunk number.
     """
     whole = rows.select("row_id", "claim", "sources", T.premise(F.col("sources")).alias("premise"))
     fits = whole.where(T.token_estimate(F.col("premise")) <= budget).select("row_id", "premise")
     large = whole.where(T.token_estimate(F.col("premise")) > budget)
-    each = large.select("row_id", F.posexplode("sources").alias("s", "source")).select("row_id", "s", F.col("source.citation").alias("citation"), F.posexplode(R.paragraphs(F.col("source.text"))).alias("p", "text"))
-    chunks = each.withColumn("doc_id", F.col("s").cast("long") * 100_000 + F.col("p"))
+    each = large.select("row_id", F.posexplode("sources").alias("s", "source")).select(F.struct("row_id", "s", F.col("source.citation").alias("citation")).alias("doc_id"), "source.text")
+    chunks = R.chunks(each).select("doc_id.*", "p_idx", F.struct("doc_id.s", "p", "k").alias("doc_id"), "text")
     scored = R.bm25(large.select("row_id", F.col("row_id").alias("query_id"), F.col("claim").alias("text")), chunks.select("row_id", "doc_id", "text"), group="row_id")
     ranked = chunks.join(scored.select("row_id", "doc_id", "score"), ["row_id", "doc_id"], "left")
     head = F.concat(F.lit("[Källa "), (F.col("s") + 1).cast("string"), F.lit(": "), F.col("citation"), F.lit("]\n"))
-    item = F.struct((-F.coalesce(F.round("score", 6), F.lit(0.0))).alias("neg"), "doc_id", T.token_estimate(F.concat(head, F.col("text"))).alias("cost"), "s", head.alias("head"), "text")
+    item = F.struct((-F.coalesce(F.round("score", 6), F.lit(0.0))).alias("neg"), "doc_id", T.token_estimate(F.concat(head, F.col("text"))).alias("cost"), "s", "p_idx", head.alias("head"), "text")
     ordered = ranked.groupBy("row_id").agg(F.sort_array(F.collect_list(item)).alias("r"))
-    taken = ordered.withColumn("n", F.explode(R.greedy_fill(F.transform("r", lambda x: x["cost"]), budget))).select("row_id", F.col("r")[F.col("n")].alias("c"))
-    by_source = taken.groupBy("row_id", "c.s", "c.head").agg(F.sort_array(F.collect_list(F.struct("c.doc_id", "c.text"))).alias("t"))
+    taken = ordered.withColumn("n", F.explode(R.greedy_fill(F.transform("r", lambda x: x["cost"]), budget))).select("row_id", "n", F.col("r")[F.col("n")].alias("c"))
+    # pieces of one paragraph and later paragraphs may share a number; of these the better ranked goes first
+    by_source = taken.groupBy("row_id", "c.s", "c.head").agg(F.sort_array(F.collect_list(F.struct("c.p_idx", "n", "c.text"))).alias("t"))
     texts = by_source.select("row_id", "s", F.concat("head", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n")).alias("block"))
     return fits.unionByName(texts.groupBy("row_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s", "block"))), lambda x: x["block"]), "\n\n").alias("premise")))
 
