@@ -1,35 +1,46 @@
-"""Near copies by the Jaccard similarity of their word shingles.
+"""Near copies: covering SimHash tables, then the exact Jaccard similarity of word shingles.
 
 A text is the set of its five-word shingles (all its words, where they are
-fewer), as 64-bit hashes.  Texts of one set are one; the others meet in bands
-of minimum hashes, and whatever meets is checked on the whole sets.  At a
-similarity of 0.8, 32 bands of 4 miss one pair in 2 * 10^7, and fewer above.
-
-Pairs inside a component need no check.  So every bucket first compares its
-sets with one of them, in turn, and then all that are still in different
-components: a large group of near copies costs no square, and no pair that
-meets and could join two components is left out.
+fewer), as 64-bit hashes.  Texts of one set are one.  Each set has ``SEEDS``
+SimHash fingerprints, and each of these the covering tables of
+``simhash.covering_masks(RADIUS)``: two sets meet for sure where any pair of
+their fingerprints lies within the radius, and most that lie a little beyond
+meet as well.  Sets that meet are compared exactly; groups are the components
+of the pairs of at least the similarity.  ``recall`` gives the share of pairs
+of a similarity that meet; no pair of lower similarity is ever linked.
+
+Pairs inside a component need no comparison.  So each set is first compared
+with one member of its buckets, the one in most buckets, then with others, in
+turns of at most one comparison a set; what is open then (pairs of different
+components that share a bucket) is compared in full.  Fingerprints that differ
+too much for the similarity (by 4.5 standard deviations over all their bits)
+spare the exact comparison.
 
 Nulls: a null text counts as empty; texts without words are alike; a null
-doc_id is carried.  An empty table gives an empty result.
+doc_id is carried.  An empty table gives an empty result.  Intermediate tables
+are written when the plan is built.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quillstone.llm.arrowtext import U64, Words, mix, slices
-from quillstone.llm.simhash import chosen
+from quillstone.llm.simhash import _signed as signed_mask, chosen, covering_masks
 from quillstone.operators.components import connected_components
 from quillstone.storage import Scratch
 
-BANDS, ROWS = 32, 4
-#: Turns of comparing each bucket with one of its sets before all open pairs are; results do not depend on it.
-TURNS = 4
+SEEDS, RADIUS = 8, 4
+#: Turns of comparing each open set with one other before all open pairs are; groups do not depend on it.
+TURNS = 6
+#: Sets of fewer shingles are always compared exactly.
+FEW = 32
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def shingles(texts: pa.Array, n: int = 5, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -37,62 +48,111 @@ def shingles(texts: pa.Array, n: int = 5, seed: int = 42) -> tuple[np.ndarray, n
     words = Words(texts, lower=True)
     h, first = words.hashes(seed), words.first
     count = np.diff(first)
+    salt = np.arange(1, n + 1, dtype=U64) * _STEP
     total = np.zeros(len(h), U64)
     for k in range(n):
-        total[: max(len(h) - k, 0)] += mix(h[k:] + U64(k + 1) * U64(0x9E3779B97F4A7C15))
+        total[: max(len(h) - k, 0)] += mix(h[k:] + salt[k])
     keep = np.arange(len(h)) + n <= np.repeat(first[1:], count)
     for d in np.flatnonzero((count > 0) & (count < n)):
-        at = first[d]
+        at, m = first[d], int(count[d])
         keep[at] = True
-        total[at] = sum((mix(h[at + k : at + k + 1] + U64(k + 1) * U64(0x9E3779B97F4A7C15)) for k in range(count[d])), np.zeros(1, U64))[0] + U64(count[d])
+        total[at] = np.add.reduce(mix(h[at : at + m] + salt[:m])) ^ U64(m)
     return mix(total[keep]), np.concatenate([[0], np.cumsum(np.where(count > 0, np.maximum(count - n + 1, 1), 0))])
 
 
-def bands(values: np.ndarray, first: np.ndarray, seed: int = 42) -> np.ndarray:
-    """For each text of ``shingles``, its band keys; rows of texts without shingles mean nothing."""
-    out = np.zeros((len(first) - 1, BANDS), U64)
+def fingerprints(values: np.ndarray, first: np.ndarray, seeds: int = SEEDS) -> np.ndarray:
+    """``seeds`` SimHash fingerprints of each of the sets ``values[first[i]:first[i + 1]]``; those of empty sets are zero."""
+    out = np.zeros((len(first) - 1, seeds), U64)
     full = np.flatnonzero(np.diff(first))
-    if len(full):
-        by = np.random.default_rng(seed).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * U64(2) + U64(1)
-        for b in range(BANDS):
-            key = np.full(len(full), U64(b))
-            for r in range(ROWS):
-                key = mix(key * U64(0x9FB21C651E98DF25) + mix(np.minimum.reduceat(values * by[b, r], first[full])))
-            out[full, b] = key
+    if not len(full):
+        return out
+    size = np.diff(first)[full]
+    # ones are counted in the eight bytes of a word, in runs of 255 values at most
+    runs = -(-size // 255)
+    run = np.cumsum(runs) - runs
+    start = np.repeat(first[full], runs) + 255 * (np.arange(runs.sum()) - np.repeat(run, runs))
+    lanes, salts = U64(0x0101010101010101), np.arange(seeds, dtype=U64) * _STEP
+    for s in range(seeds):
+        h = mix(values + salts[s])
+        for k in range(8):
+            ones = np.add.reduceat((h >> U64(k)) & lanes, start).view(np.uint8).reshape(-1, 8)
+            more = np.add.reduceat(ones.astype(np.int64), run, axis=0) * 2 > size[:, None]
+            out[full, s] |= np.ascontiguousarray(more.view(np.uint8)).view(U64)[:, 0] << U64(k)
     return out
 
 
-def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, quillstone_mark, key`` (of the set)``, size, bands``."""
+def recall(similarity: float, seeds: int = SEEDS, radius: int = RADIUS, bits: int = 64) -> float:
+    """The expected share of pairs of sets of equal size and this similarity that meet."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    rank = radius + 1
+    one = 0.0
+    for d in range(bits + 1):
+        # random vectors span the space, so that no table is left, with this probability
+        span = math.prod(1 - 2.0 ** (i - d) for i in range(rank)) if d >= rank else 0.0
+        one += math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - span)
+    return 1 - (1 - one) ** seeds
+
+
+def most_apart(similarity: float, bits: int) -> int:
+    """Differing bits that two sets of this similarity pass once in about 300,000 times."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def _signatures(docs: DataFrame, n: int, seeds: int) -> DataFrame:
+    """``doc_id, quillstone_mark, key`` (of the set)``, size, fps``."""
 
     def run(batches):
         for batch in slices(batches, "text", 1_000_000):
             values, first = shingles(batch.column(1), n)
-            keys, sizes, signs = [], [], bands(values, first).view(np.int64)
-            for a, b in zip(first[:-1], first[1:]):
-                one = np.unique(values[a:b])
-                keys.append(hashlib.blake2b(one.tobytes(), digest_size=16).digest())
-                sizes.append(len(one))
-            lists = [s if k else s[:0] for s, k in zip(signs, sizes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "quillstone_mark", "key", "size", "bands"])
+            sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
+            sizes = np.array([len(x) for x in sets], np.int32)
+            keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            got = fingerprints(np.concatenate(sets) if sets else values, np.concatenate([[0], np.cumsum(sizes)]), seeds).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * seeds), pa.array(got.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes), lists], ["doc_id", "quillstone_mark", "key", "size", "fps"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "quillstone_mark").mapInArrow(run, f"doc_id {kind}, quillstone_mark long, key binary, size int, bands array<long>")
+    return docs.select("doc_id", "text", "quillstone_mark").mapInArrow(run, f"doc_id {kind}, quillstone_mark long, key binary, size int, fps array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """``key, set`` (sorted hashes) of ``key, text``."""
+    """``no, set`` (sorted hashes) of ``no, text``."""
 
     def run(batches):
         for batch in slices(batches, "text", 1_000_000):
             values, first = shingles(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["key", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["no", "set"])
+
+    return docs.select("no", "text").mapInArrow(run, "no long, set binary")
+
+
+def _keys(fps: Column, radius: int) -> Column:
+    """The keys of all tables of all fingerprints."""
+    masks = F.array(*[F.lit(signed_mask(m)) for m in covering_masks(radius)])
+    return F.flatten(F.transform(fps, lambda fp, s: F.transform(masks, lambda m: F.xxhash64(s, m, fp.bitwiseAND(m)))))
+
 
-    return docs.select("key", "text").mapInArrow(run, "key binary, set binary")
+def _in_company(batches):
+    """Of rows ``h, no`` in order of h: those that share their h with another row."""
+    h, no, before = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        if batch.num_rows:
+            h, no = np.concatenate([h, batch.column(0).to_numpy()]), np.concatenate([no, batch.column(1).to_numpy()])
+            same = h[1:] == h[:-1]
+            good = same.copy()
+            good[1:] |= same[:-1]
+            good[:1] |= before
+            # the last row waits for the next batch
+            yield pa.RecordBatch.from_arrays([pa.array(h[:-1][good]), pa.array(no[:-1][good])], ["h", "no"])
+            before = bool(same[-1]) if len(same) else before
+            h, no = h[-1:], no[-1:]
+    if before:
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(no)], ["h", "no"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs ``u, v`` of keys whose sets have the similarity."""
+def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """Those of the distinct pairs ``u, v`` whose sets have the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -103,48 +163,57 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 good.append(both / (len(x) + len(y) - both) >= similarity)
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    left, right = sets.select(F.col("key").alias("u"), F.col("set").alias("a")), sets.select(F.col("key").alias("v"), F.col("set").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    def end(table: DataFrame, name: str, *columns: str) -> DataFrame:
+        return table.select(F.col("no").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
 
+    apart = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    low, high = F.least("size_u", "size_v"), F.greatest("size_u", "size_v")
+    near = (low / high >= similarity) & ((low < FEW) | (apart <= most_apart(similarity, bits)))
+    left = pairs.join(end(prints, "u", "size", "fps"), "u").join(end(prints, "v", "size", "fps"), "v").where(near).select("u", "v")
+    both = left.join(end(sets, "u", "set"), "u").join(end(sets, "v", "set"), "v")
+    return both.select("u", "v", F.col("set_u").alias("a"), F.col("set_v").alias("b")).mapInArrow(run, "u long, v long")
 
-def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One row of each group of near copies, the one of smallest doc_id; all columns stay.
 
-    Groups are the components of all pairs of at least the similarity.
-    """
+def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = SEEDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near copies, the one of smallest doc_id; all columns stay."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "nearcopies")
     marked = docs.withColumn("quillstone_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    signed = scratch.keep(_signed(marked, shingle))
-    distinct = scratch.keep(signed.groupBy("key", "size", "bands").agg(F.min(F.struct("doc_id", "quillstone_mark")).alias("low")))
+    signed = scratch.keep(_signatures(marked, shingle, seeds))
+    # numbers are fixed once the table is written
+    distinct = scratch.keep(signed.groupBy("key", "size", "fps").agg(F.min(F.struct("doc_id", "quillstone_mark")).alias("low")).withColumn("no", F.monotonically_increasing_id()).drop("key"))
     scratch.drop(signed)
-    each = distinct.select("key", "size", F.explode("bands").alias("band"))
-    met = scratch.keep(each.join(each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "band"))
-    needed = distinct.join(met.select("key").distinct(), "key", "left_semi").select("key", F.col("low.doc_id").alias("quillstone_id"), F.col("low.quillstone_mark").alias("quillstone_mark"))
-    texts = marked.join(needed, marked["doc_id"].eqNullSafe(needed["quillstone_id"]) & (marked["quillstone_mark"] == needed["quillstone_mark"])).select("key", "text")
-    sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["key"]))
-    near = F.least("size", "size_v") / F.greatest("size", "size_v") >= similarity
-    edges, named = spark.createDataFrame([], "u binary, v binary"), met.withColumn("label", F.col("key"))
-    found = spark.createDataFrame([], "node binary, component binary")
+    prints = distinct.select("no", "size", "fps")
+    # a small table becomes many rows here: dealt out first, so that all tasks share the work
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = distinct.where("size > 0").repartition(parts, "no").select(F.explode(_keys(F.col("fps"), radius)).alias("h"), "no")
+    met = scratch.keep(each.repartition("h").sortWithinPartitions("h").mapInArrow(_in_company, "h long, no long"))
+    degree = scratch.keep(met.groupBy("no").agg(F.count("*").alias("degree")))
+    needed = distinct.join(degree, "no", "left_semi").select("no", F.col("low.doc_id").alias("quillstone_id"), F.col("low.quillstone_mark").alias("quillstone_mark"))
+    texts = marked.join(needed, marked["doc_id"].eqNullSafe(needed["quillstone_id"]) & (marked["quillstone_mark"] == needed["quillstone_mark"])).select("no", "text")
+    sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["no"]))
+    edges = spark.createDataFrame([], "u long, v long")
+    found = spark.createDataFrame([], "node long, component long")
     for turn in range(TURNS + 1):
+        named = met.join(degree, "no").join(found.withColumnRenamed("node", "no"), "no", "left").select("h", "no", "degree", F.coalesce("component", "no").alias("label"))
         # only buckets of more than one component have pairs left
-        counts = named.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("labels")).where("labels > 1")
-        left = counts.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        open_ = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+        rows = scratch.keep(named.join(open_, "h"))
+        inside = rows.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+        left = inside.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         if not left["pairs"]:
             break
         last = turn == TURNS or left["pairs"] <= 2 * left["rows"]
-        open_ = named.join(counts.select("band"), "band")
         if last:
-            other = open_.select("band", F.col("key").alias("v"), F.col("size").alias("size_v"), F.col("label").alias("label_v"))
-            pairs = open_.join(other, "band").where("label < label_v")
+            pairs = rows.join(rows.select("h", F.col("no").alias("v"), F.col("label").alias("label_v")), "h").where("label < label_v").select(F.least("no", "v").alias("u"), F.greatest("no", "v").alias("v")).distinct()
         else:
-            first = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("v"), F.col("size").alias("size_v"), F.col("label").alias("label_v"))).alias("c")).select("band", "c.*")
-            pairs = open_.join(first, "band").where("label <> label_v")
-        pairs = pairs.where(near).select(F.least("key", "v").alias("u"), F.greatest("key", "v").alias("v")).distinct()
-        edges = scratch.keep(edges.unionByName(_similar(pairs, sets, similarity)))
+            by = F.struct(*([F.col("degree")] if turn == 0 else []), F.xxhash64("no", F.lit(turn)).alias("draw"), F.col("no").alias("v"), F.col("label").alias("label_v"))
+            first = rows.groupBy("h").agg(F.max(by).alias("c"))
+            pairs = rows.join(first, "h").where("label <> c.label_v").groupBy("no").agg(F.max("c").alias("c")).select(F.least("no", "c.v").alias("u"), F.greatest("no", "c.v").alias("v")).distinct()
+        edges = scratch.keep(edges.unionByName(_similar(pairs, prints, sets, similarity, 64 * seeds)))
         found = scratch.keep(connected_components(edges))
-        named = met.join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", "size", F.coalesce("component", "key").alias("label"))
+        scratch.drop(rows)
         if last:
             break
-    kept = distinct.join(found.withColumnRenamed("node", "key"), "key", "left").groupBy(F.coalesce("component", "key").alias("component")).agg(F.min("low").alias("k"))
+    kept = distinct.join(found.withColumnRenamed("node", "no"), "no", "left").groupBy(F.coalesce("component", "no").alias("component")).agg(F.min("low").alias("k"))
     return chosen(marked, kept.select(F.col("k.doc_id").alias("quillstone_id"), "k.quillstone_mark")).select(*docs.columns)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,15 +18,18 @@ def parts(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
-def firsts(texts):
-    sets, parent = [parts(t) for t in texts], list(range(len(texts)))
-    for i in range(len(texts)):
+def groups(n, linked):
+    parent = list(range(n))
+    for i in range(n):
         for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] == sets[j] or both / max(len(sets[i] | sets[j]), 1) >= 0.8:
+            if linked(i, j):
                 a, b = parent[i], parent[j]
                 parent = [min(a, b) if p in (a, b) else p for p in parent]
-    return sorted(set(parent))
+    return set(parent)
+
+
+def likeness(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
 
 
 def edited(rng, words, share):
@@ -42,6 +47,44 @@ def test_stage(spark, monkeypatch, turns):
     base = [f"b{i}" for i in range(200)]
     texts += [edited(rng, base, 0.02) for _ in range(40)]
     frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA).repartition(3)
-    got = corpus_pipeline.near_duplicates(spark, frame.unionByName(frame.where("doc_id = 30")), "")
-    assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == firsts(texts)
+    got = corpus_pipeline.near_duplicates(spark, frame.unionByName(frame.where("doc_id = 30")), "").collect()
+    kept = {r.doc_id for r in got}
+    assert len(got) == len(kept) and got[0].__fields__ == frame.columns
+    sets = [parts(t) for t in texts]
+    prints = nearcopies.fingerprints(*distinct_hashes(texts))
+    near = [[max(likeness(a, b), a == b) >= 0.8 for b in sets] for a in sets]
+    close = [[sets[i] == sets[j] or bool((np.bitwise_count(prints[i] ^ prints[j]) <= nearcopies.RADIUS).any()) for j in range(len(texts))] for i in range(len(texts))]
+    # no pair is linked below the similarity, and none is missed within the radius
+    most = groups(len(texts), lambda i, j: near[i][j])
+    least = groups(len(texts), lambda i, j: near[i][j] and close[i][j])
+    assert most <= kept <= least and len(most) < len(texts)
     assert corpus_pipeline.near_duplicates(spark, frame.where(F.lit(False)), "").collect() == []
+
+
+def distinct_hashes(texts):
+    values, first = nearcopies.shingles(pa.array(texts))
+    sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
+    return np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+
+def test_fingerprints_count_bits():
+    texts = [" ".join(f"w{k * k % 97} v{k}" for k in range(n)) for n in (0, 1, 2, 5, 200, 3000)]
+    values, first = nearcopies.shingles(pa.array(texts))
+    got = nearcopies.fingerprints(values, first, 3)
+    for i in range(len(texts)):
+        for s in range(3):
+            h = nearcopies.mix(values[first[i] : first[i + 1]] + np.array([s], np.uint64) * nearcopies._STEP)
+            assert int(got[i, s]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+
+
+def test_recall_of_planted_pairs(spark):
+    rng = random.Random(5)
+    texts, near = [], 0
+    for k in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(250)]
+        texts += [" ".join(words), edited(rng, words, 0.012)]
+        near += likeness(parts(texts[-2]), parts(texts[-1])) >= 0.8
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    gone = 600 - nearcopies.keep_dissimilar(frame).count()
+    assert near > 250 and 0.95 * near <= gone <= near
+    assert 0.6 < nearcopies.recall(0.8) < nearcopies.recall(0.9) < nearcopies.recall(0.95) <= 1
