@@ -15,6 +15,7 @@ rows give equal results.  An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -30,6 +31,10 @@ from quillstone.llm.arrowtext import slices
 
 #: Cached words of a worker in each of two generations; results do not depend on it.
 CACHED = 400_000
+#: Words of more tokens merge through a heap, with the same result.
+LONG = 64
+#: Longer texts without blanks are not kept in the cache.
+KEPT_LETTERS = 200
 _BIG = np.int64(1) << np.int64(40)
 _NEVER = 1 << 60
 _BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -102,6 +107,8 @@ class WordBPE:
         """Exact merging: the earliest rule that applies, at its first place, until none applies."""
         rules, vocab = self.rules, self.vocab
         ids = [vocab[x] for x in symbols if x in vocab]
+        if len(ids) > LONG:
+            return self._merge_long(ids)
         ranks = [rules.get(a << 20 | b, _NEVER) for a, b in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
@@ -116,12 +123,35 @@ class WordBPE:
                 ranks[k - 1] = rules.get(ids[k - 1] << 20 | ids[k], _NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same with a heap of rules and places and links between what is left."""
+        rules, n = self.rules, len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(rule, k) for k in range(n - 1) if (rule := rules.get(ids[k] << 20 | ids[k + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rule, k = heapq.heappop(heap)
+            right = after[k]
+            # stale unless the pair at this place still has the rule
+            if right < 0 or ids[k] < 0 or rules.get(ids[k] << 20 | ids[right]) != rule:
+                continue
+            ids[k], ids[right] = rule & 0xFFFFF, -1
+            after[k] = after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (rule := rules.get(ids[k] << 20 | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (rule, k))
+            if before[k] >= 0 and (rule := rules.get(ids[before[k]] << 20 | ids[k])) is not None:
+                heapq.heappush(heap, (rule, before[k]))
+        return [i for i in ids if i >= 0]
+
     def propose(self, word: str) -> list[int] | None:
         """Greedy longest match; None where a letter is no vocabulary entry."""
         got, at, n = [], 0, len(word)
         vocab, sound, end = self.vocab, self.sound, word + self.suffix
+        most = self.longest - len(self.suffix)
         while at < n:
-            if end[at:] in sound:
+            if n - at <= most and end[at:] in sound:
                 got.append(vocab[end[at:]])
                 break
             for to in range(min(n - 1, at + self.reach.get(word[at : at + 2], 1)), at, -1):
@@ -241,6 +271,11 @@ class WordBPE:
         for chunks in plan:
             found = [x for x in map(cache.__getitem__, chunks) if x[2]]
             out.append((" ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])))
+        for c in missing:
+            if len(c) > KEPT_LETTERS:
+                del self.cache[c]
+        for w in [w for w in self.known if len(w) > KEPT_LETTERS] if any(len(c) > KEPT_LETTERS for c in missing) else ():
+            del self.known[w]
         return out
 
 
