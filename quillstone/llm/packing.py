@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quillstone.llm.arrowtext import slices
+from quillstone.llm.bpe import byte_letters
 from quillstone.storage import Scratch
 
 CAPACITY = 1024
@@ -40,17 +41,10 @@ END_ID = 2
 CACHED = 250_000
 
 
-#: The word pattern and the printable stand-ins for bytes of byte-level BPE files.
+#: Fixed value: the word pattern of byte-level BPE files.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: printable Latin-1 for itself, others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
-
-
 class _Cache(dict):
     """Token ids (as bytes) of a text part; parts after the first stand for a space and the part."""
 
@@ -195,7 +189,9 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
             only_one = len(low) < 2 or low[0] + low[1] > rest
             two_at_most = len(low) < 3 or sum(low) > rest
             if only_one or two_at_most and k >= _best_pair(left, j, rest):
-                take((j, k), 1)
+                # what was tested sees at most three pieces of a length, so it holds while four are left
+                spare = (left[j] - 4) // 2 if k == j else min(left[j], left[k]) - 4
+                take((j, k), max(spare, 1))
                 continue
             break
     return fixed, left
