@@ -25,6 +25,8 @@ DIMENSIONS = 1024
 #: Training texts that are used of each language, about: a hash of the id picks them.
 PER_LANGUAGE = 4000
 UNKNOWN = "und"
+#: Cells of a dense table of texts and trigrams; beyond it they are added one by one, with the same sums.
+DENSE = 1 << 25
 
 
 @cache
@@ -75,12 +77,23 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         kinds, tri = np.unique(tri, return_inverse=True)
     base = np.stack([letter(int(x)) for x in used])
     out = np.zeros((n, DIMENSIONS), np.float32)
-    count = np.bincount(owner * len(kinds) + tri, minlength=n * len(kinds)).reshape(n, len(kinds)).astype(np.float32) if len(kinds) else np.zeros((n, 0), np.float32)
     first, second = np.roll(base, 2, axis=1), np.roll(base, 1, axis=1)
-    for at in range(0, len(kinds), 4096):
-        x = kinds[at : at + 4096]
-        grams = first[x // (k * k)] * second[x // k % k] * base[x % k]
-        out += count[:, at : at + 4096] @ grams.astype(np.float32)
+
+    def grams(x: np.ndarray) -> np.ndarray:
+        return first[x // (k * k)] * second[x // k % k] * base[x % k]
+
+    if n * len(kinds) <= min(DENSE, 64 * len(tri)):
+        count = np.bincount(owner * len(kinds) + tri, minlength=n * len(kinds)).reshape(n, len(kinds)).astype(np.float32)
+        for at in range(0, len(kinds), 4096):
+            out += count[:, at : at + 4096] @ grams(kinds[at : at + 4096]).astype(np.float32)
+        return out, has
+    # few trigrams are shared: each text's own ones are added, in blocks of fixed size
+    both, times = np.unique(owner * len(kinds) + tri, return_counts=True)
+    for at in range(0, len(both), 8192):
+        who, what = np.divmod(both[at : at + 8192], len(kinds))
+        terms = grams(kinds[what]) * times[at : at + 8192, None].astype(np.float32)
+        head = np.flatnonzero(np.diff(who, prepend=-1))
+        out[who[head]] += np.add.reduceat(terms, head, axis=0)
     return out, has
 
 
