@@ -218,6 +218,18 @@ def _alive(parts: DataFrame, key: list[str]) -> DataFrame:
     return parts.join(found, "part").groupBy(*key).agg(F.collect_set("part").alias("alive"))
 
 
+#: A key with more than this share of all rows meets its rows by broadcast; there are fewer such keys than its inverse.
+HOT_SHARE = 1 / 512
+
+
+def _with_keys(rows: DataFrame, keys: DataFrame, key: list[str], rows_in_all: int) -> DataFrame:
+    """The rows whose key is among ``keys`` (key columns and its number of rows ``n``); rows of frequent keys stay where they are."""
+    edge = rows_in_all * HOT_SHARE
+    hot = F.broadcast(keys.where(F.col("n") > edge).select(*key))  # at most 1 / HOT_SHARE keys
+    rest = rows.join(hot, key, "left_anti").join(keys.where(F.col("n") <= edge).select(*key), key)
+    return rows.join(hot, key, "left_semi").select(*rows.columns).unionByName(rest.select(*rows.columns))
+
+
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """``(all texts, changed texts)``.
 
@@ -236,8 +248,9 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     parts = scan.select(tid, F.explode(F.arrays_zip("parts", "twice")).alias("x")).select("sid", F.col("x.parts").alias("part"), F.col("x.twice").alias("twice"))
     alive = _alive(parts, ["sid"])
     texts = scan.groupBy("digest128").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"))
-    wanted = texts.withColumn("sid", F.xxhash64("digest128")).join(alive, "sid").select("rid", "copies", "alive")
-    base = scratch.keep(keyed.select("rid", "text", "digest128").join(wanted, "rid").withColumn("sid", F.monotonically_increasing_id()))
+    wanted = texts.withColumn("sid", F.xxhash64("digest128")).join(alive, "sid").select("rid", "digest128", "copies", "alive")
+    # rows of one id and text are one here
+    base = scratch.keep(keyed.select("rid", "text", "digest128").join(wanted, ["rid", "digest128"]).withColumn("sid", F.monotonically_increasing_id()))
     seg = scratch.keep(base.select("sid", F.lit(0).cast("long").alias("start"), "text", "alive").mapInArrow(_cut(window, part, True), "sid long, start long, text string"))
     while part * 2 <= window:
         part *= 2
@@ -249,8 +262,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
         scratch.drop(seg)
         seg = new
     every = scratch.keep(seg.mapInArrow(_windows(window), "a long, b long, sid long, start long"))
-    twice = every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
-    starts = every.join(twice, ["a", "b"]).groupBy("sid").agg(F.collect_list("start").alias("starts"))
+    twice = scratch.keep(every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"))
+    starts = _with_keys(every, twice, ["a", "b"], every.count()).groupBy("sid").agg(F.collect_list("start").alias("starts"))
     single = base.where("copies = 1").select("sid", "digest128", "text")
     changed = scratch.keep(single.join(starts, "sid").mapInArrow(_strip(window), "digest128 binary, n_removed long, kept_digest binary, kept_text string"))
     scratch.drop(every, seg, base)
@@ -281,10 +294,11 @@ def stripped(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Texts that lose nothing, null ones too, are left as they are.
     """
     rows, changed = repeated(docs.select("doc_id", "text"), window)
-    news = changed.select("digest128", "kept_text")
-    gone = rows.where(_gone(window)).select("digest128", F.lit("").alias("kept_text")).distinct()
+    new = changed.select(F.col("digest128").alias("quillstone_digest"), F.col("kept_text").alias("quillstone_text"))
+    gone = rows.where(_gone(window)).select(F.col("digest128").alias("quillstone_digest"), F.lit("").alias("quillstone_text")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    joined = docs.withColumn("digest128", F.unhex(F.substring(F.sha2(text, 256), 1, 32))).join(news.unionByName(gone), "digest128", "left").withColumn("text", F.coalesce("kept_text", "text"))
+    marked = docs.withColumn("quillstone_digest", F.unhex(F.substring(F.sha2(text, 256), 1, 32)))
+    joined = marked.join(new.unionByName(gone), "quillstone_digest", "left").withColumn("text", F.coalesce("quillstone_text", "text"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast(docs.schema["n_chars"].dataType))
+        joined = joined.withColumn("n_chars", F.when(F.col("quillstone_text").isNull(), F.col("n_chars")).otherwise(F.length("quillstone_text")).cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)
