@@ -62,6 +62,26 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total).cast("double")
 
 
+#: Code points of text in a range of documents, about, and ranges at most (beyond, they grow with the table; a window spills).
+RANGE_CHARS, RANGES = 16_000_000, 1 << 16
+
+
+def ranges(docs: DataFrame) -> int:
+    """How many ranges hold the table."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    least = max(16, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(RANGES, max(least, -(-chars // RANGE_CHARS)))
+
+
+def place_of(cuts: list, column: str) -> Column:
+    """The number of the last of the sorted cuts that is not above the column (0 below all), found in two steps of the root of their number."""
+    step = max(1, math.isqrt(len(cuts)))
+    whole, coarse = F.array(*map(F.lit, cuts)) if len(cuts) == 1 else F.lit(cuts), cuts[::step]
+    block = F.greatest(F.size(F.filter(F.lit(coarse) if len(coarse) > 1 else F.array(F.lit(coarse[0])), lambda b: b <= F.col(column))) - 1, F.lit(0))
+    inside = F.size(F.filter(F.slice(whole, block * step + 1, F.lit(step)), lambda b: b <= F.col(column)))
+    return F.coalesce(F.greatest(block * step + inside - 1, F.lit(0)), F.lit(0))
+
+
 def boundaries(docs: DataFrame, parts: int) -> tuple[list, bool]:
     """Ids that cut the table into about ``parts`` even ranges (the least id first), and whether an id is null."""
     row = docs.agg(
@@ -77,24 +97,22 @@ def with_next(docs: DataFrame, columns: dict[str, str], parts: int | None = None
 
     ``more`` may add columns to rows that are dealt out already.
 
-    The table is cut into ranges of ids, of which there are as many as
-    partitions (4096 at most); the first row of each range also goes to the range before it,
-    so no window spans more than a range and no row is sent twice otherwise.
+    The table is cut into ranges of ids, as many as its texts need; the rows
+    of a range's first id also go to the range before it, so no window spans
+    more than a range and no row is sent twice otherwise.
     """
-    spark = docs.sparkSession
-    parts = parts or min(4096, max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    cuts, null = boundaries(docs, parts)
+    cuts, null = boundaries(docs, parts or ranges(docs))
     if not cuts:
         cuts = [0]
     at = F.lit(cuts) if len(cuts) > 1 else F.array(F.lit(cuts[0]))
-    place = F.greatest(F.size(F.filter(at, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
+    place = place_of(cuts, "doc_id")
     last = len(cuts) - 1
     first = F.col("doc_id").isNull() if null else F.col("doc_id") == cuts[0]
     own = F.struct(place.alias("range"), F.lit(0).alias("guest"))
     before = F.struct((place - 1).alias("range"), F.lit(1).alias("guest"))
     around = F.struct(F.lit(last).alias("range"), F.lit(2).alias("guest"))
     homes = F.array_compact(F.array(own, F.when((place > 0) & F.array_contains(at, F.col("doc_id")), before), F.when(first, around)))
-    spread = docs.withColumn("home", F.explode(homes)).select(*docs.columns, "home.range", "home.guest").repartition("range")
+    spread = docs.withColumn("home", F.explode(homes)).select(*docs.columns, "home.range", "home.guest").repartition(len(cuts), "range")
     order = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
     moved = more(spread).select("*", *(F.lead(c).over(order).alias(f"next_{k}") for k, c in columns.items()))
     return moved.where("guest = 0").drop("guest", "range")
