@@ -104,6 +104,24 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def log_of_rows(rows: DataFrame) -> DataFrame:
-    """Rows ``conv_id, turn, role, text`` as a log of whole messages, one for each row."""
+    """Rows ``conv_id, turn, role, text`` as the log of a session that ends in them.
+
+    A user's text comes as a message and a delta; an assistant's as a draft
+    that is generated anew, streamed in two pieces; any other one as a message
+    that an edit replaces.
+    """
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return rows.select("conv_id", place.cast("long").alias("seq"), F.lit("message").alias("kind"), place.cast("long").alias("message_id"), "role", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def log(*steps: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(k).alias("step"), F.lit(kind).alias("kind"), text.alias("text")) for k, (kind, text) in enumerate(steps)])
+
+    steps = (
+        F.when(F.col("role") == "user", log(("message", head), ("delta", tail)))
+        .when(F.col("role") == "assistant", log(("message", head), ("regenerate", head), ("delta", tail)))
+        .otherwise(log(("message", head), ("edit", F.col("text"))))
+    )
+    given = rows.select("conv_id", place.cast("long").alias("message_id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    each = given.select("conv_id", "message_id", "role", F.explode(steps).alias("e"))
+    return each.select("conv_id", (F.col("message_id") * 4 + F.col("e.step")).alias("seq"), "e.kind", "message_id", "role", "e.text")
