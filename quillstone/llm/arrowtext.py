@@ -15,6 +15,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes of text that are hashed at a time; hashes do not depend on it.
+CHUNK = 4_000_000
 
 
 def slices(batches, column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -70,27 +72,35 @@ class Words:
         """A 64-bit hash of each word, the same on every machine."""
         if not len(self.start):
             return np.zeros(0, U64)
+        # a few million bytes at a time: the arrays below take about 40 bytes for each
+        cuts = np.unique(np.searchsorted(self.start, np.arange(0, len(self.data), CHUNK)))
+        parts = [self._hashes(seed, int(i), int(j)) for i, j in zip(cuts, [*cuts[1:], len(self.start)]) if i < j]
+        return np.concatenate(parts)
+
+    def _hashes(self, seed: int, i: int, j: int) -> np.ndarray:
         rng = np.random.default_rng(seed)
         table = rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
         mult = U64(int(rng.integers(1, 2**62)) * 2 + 1)
-        size = self.end - self.start
+        low, high = int(self.start[i]), int(self.end[j - 1])
+        start, end, data = self.start[i:j] - low, self.end[i:j] - low, self.data[low:high]
+        size = end - start
         power = np.empty(int(size.max()), U64)
         power[0] = 1
         if len(power) > 1:
             power[1:] = mult
             power = np.multiply.accumulate(power)
-        n = len(self.data)
+        n = len(data)
         where = np.zeros(n, np.int64)
-        where[self.start] = self.start
+        where[start] = start
         inside = np.zeros(n + 1, np.int8)
-        inside[self.start] = 1
-        inside[self.end] -= 1
+        inside[start] = 1
+        inside[end] -= 1
         inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
         pos = np.arange(n) - np.maximum.accumulate(where)
         pos[~inside] = 0
-        terms = table[self.data] * power[pos]
+        terms = table[data] * power[pos]
         terms[~inside] = 0
-        return mix(np.add.reduceat(terms, self.start) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
+        return mix(np.add.reduceat(terms, start) + size.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

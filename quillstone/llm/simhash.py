@@ -27,6 +27,8 @@ from quillstone.storage import Scratch
 
 #: Buckets up to this many distinct fingerprints compare pairs; larger ones link through shared keys, which is exact as well.
 PAIRWISE = 24
+#: Shingles of a text that are unpacked at a time; fingerprints do not depend on it.
+CHUNK = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -39,11 +41,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        values = [digest(line, seed)]
-    else:
-        values = [digest(line[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :])]
-    bits = np.unpackbits(np.array(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(values), bitorder="little").view("<u8")[0])
+        return digest(line, seed)
+    ends, ones, n = ends[shingle - 1 :], np.zeros(64, np.int64), len(words) - shingle + 1
+    for at in range(0, n, CHUNK):
+        values = [digest(line[a : b - 1], seed) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK])]
+        ones += np.unpackbits(np.array(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, more: tuple[str, ...] = ()) -> DataFrame:
