@@ -190,7 +190,8 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     met = scratch.keep(each.repartition("h").sortWithinPartitions("h").mapInArrow(_in_company, "h long, no long"))
     degree = scratch.keep(met.groupBy("no").agg(F.count("*").alias("degree")))
     needed = distinct.join(degree, "no", "left_semi").select("no", F.col("low.doc_id").alias("quillstone_id"), F.col("low.quillstone_mark").alias("quillstone_mark"))
-    texts = marked.join(needed, marked["doc_id"].eqNullSafe(needed["quillstone_id"]) & (marked["quillstone_mark"] == needed["quillstone_mark"])).select("no", "text")
+    plain = marked.select("doc_id", "text", "quillstone_mark")
+    texts = plain.join(needed, plain["doc_id"].eqNullSafe(needed["quillstone_id"]) & (plain["quillstone_mark"] == needed["quillstone_mark"])).select("no", "text")
     sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["no"]))
     edges = spark.createDataFrame([], "u long, v long")
     found = spark.createDataFrame([], "node long, component long")
