@@ -24,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: on {master} intermediate tables need a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
