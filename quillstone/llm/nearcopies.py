@@ -37,7 +37,7 @@ from quillstone.storage import Scratch
 
 SEEDS, RADIUS = 8, 4
 #: Turns of comparing each open set with one other before all open pairs are; groups do not depend on it.
-TURNS = 6
+TURNS = 2
 #: Sets of fewer shingles are always compared exactly.
 FEW = 32
 _STEP = U64(0x9E3779B97F4A7C15)
@@ -151,6 +151,26 @@ def _in_company(batches):
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(no)], ["h", "no"])
 
 
+def _with_first(batches):
+    """Of rows ``h, rank, no, label`` in order of h: each with the first of its h, where their labels differ."""
+    h = first = None
+    for batch in batches:
+        if batch.num_rows:
+            now, rank, no, label = (batch.column(k).to_numpy() for k in range(4))
+            new = np.ones(len(now), bool)
+            new[1:] = now[1:] != now[:-1]
+            new[0] = first is None or now[0] != h
+            head = np.flatnonzero(new)
+            lead = np.stack([rank[head], no[head], label[head]])
+            at = np.cumsum(new) - 1
+            if not new[0]:
+                # the first group goes on from the batch before
+                lead, at = np.concatenate([first, lead], axis=1), at + 1
+            h, first = now[-1], lead[:, -1:]
+            good = lead[2][at] != label
+            yield pa.RecordBatch.from_arrays([pa.array(no[good]), pa.array(lead[0][at][good]), pa.array(lead[1][at][good])], ["no", "rank", "v"])
+
+
 def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, bits: int) -> DataFrame:
     """Those of the distinct pairs ``u, v`` whose sets have the similarity."""
 
@@ -187,33 +207,34 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     # a small table becomes many rows here: dealt out first, so that all tasks share the work
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = distinct.where("size > 0").repartition(parts, "no").select(F.explode(_keys(F.col("fps"), radius)).alias("h"), "no")
-    met = scratch.keep(each.repartition("h").sortWithinPartitions("h").mapInArrow(_in_company, "h long, no long"))
-    degree = scratch.keep(met.groupBy("no").agg(F.count("*").alias("degree")))
-    needed = distinct.join(degree, "no", "left_semi").select("no", F.col("low.doc_id").alias("quillstone_id"), F.col("low.quillstone_mark").alias("quillstone_mark"))
+    met = each.repartition("h").sortWithinPartitions("h").mapInArrow(_in_company, "h long, no long")
+    # one row a set, with its buckets: as many as there are tables, at most
+    nodes = scratch.keep(met.groupBy("no").agg(F.collect_list("h").alias("hs")))
+    needed = distinct.join(nodes, "no", "left_semi").select("no", F.col("low.doc_id").alias("quillstone_id"), F.col("low.quillstone_mark").alias("quillstone_mark"))
     plain = marked.select("doc_id", "text", "quillstone_mark")
     texts = plain.join(needed, plain["doc_id"].eqNullSafe(needed["quillstone_id"]) & (plain["quillstone_mark"] == needed["quillstone_mark"])).select("no", "text")
     sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["no"]))
     edges = spark.createDataFrame([], "u long, v long")
     found = spark.createDataFrame([], "node long, component long")
     for turn in range(TURNS + 1):
-        named = met.join(degree, "no").join(found.withColumnRenamed("node", "no"), "no", "left").select("h", "no", "degree", F.coalesce("component", "no").alias("label"))
+        named = nodes.join(found.withColumnRenamed("node", "no"), "no", "left").select("no", F.size("hs").alias("degree"), F.coalesce("component", "no").alias("label"), F.explode("hs").alias("h"))
         # only buckets of more than one component have pairs left
-        open_ = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-        rows = scratch.keep(named.join(open_, "h"))
-        inside = rows.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"))
+        inside = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("labels")).where("labels > 1")
         left = inside.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         if not left["pairs"]:
             break
         last = turn == TURNS or left["pairs"] <= 2 * left["rows"]
         if last:
+            rows = named.join(inside.select("h"), "h")
             pairs = rows.join(rows.select("h", F.col("no").alias("v"), F.col("label").alias("label_v")), "h").where("label < label_v").select(F.least("no", "v").alias("u"), F.greatest("no", "v").alias("v")).distinct()
         else:
-            by = F.struct(*([F.col("degree")] if turn == 0 else []), F.xxhash64("no", F.lit(turn)).alias("draw"), F.col("no").alias("v"), F.col("label").alias("label_v"))
-            first = rows.groupBy("h").agg(F.max(by).alias("c"))
-            pairs = rows.join(first, "h").where("label <> c.label_v").groupBy("no").agg(F.max("c").alias("c")).select(F.least("no", "c.v").alias("u"), F.greatest("no", "c.v").alias("v")).distinct()
+            # the set in most buckets comes first in turn 0, a drawn one later
+            rank = F.col("degree").cast("long") if turn == 0 else F.xxhash64("no", F.lit(turn))
+            ordered = named.select("h", rank.alias("rank"), "no", "label").repartition("h").sortWithinPartitions("h", F.desc("rank"), "no")
+            met = ordered.mapInArrow(_with_first, "no long, rank long, v long")
+            pairs = met.groupBy("no").agg(F.max(F.struct("rank", "v")).alias("c")).select(F.least("no", "c.v").alias("u"), F.greatest("no", "c.v").alias("v")).distinct()
         edges = scratch.keep(edges.unionByName(_similar(pairs, prints, sets, similarity, 64 * seeds)))
         found = scratch.keep(connected_components(edges))
-        scratch.drop(rows)
         if last:
             break
     kept = distinct.join(found.withColumnRenamed("node", "no"), "no", "left").groupBy(F.coalesce("component", "no").alias("component")).agg(F.min("low").alias("k"))
