@@ -13,7 +13,7 @@ Pairs inside a component need no comparison.  So each set is first compared
 with one member of its buckets, the one in most buckets, then with others, in
 turns of at most one comparison a set; what is open then (pairs of different
 components that share a bucket) is compared in full.  Fingerprints that differ
-too much for the similarity (by 4.5 standard deviations over all their bits)
+too much for the similarity (by three standard deviations over all their bits)
 spare the exact comparison.
 
 Nulls: a null text counts as empty; texts without words are alike; a null
@@ -94,9 +94,9 @@ def recall(similarity: float, seeds: int = SEEDS, radius: int = RADIUS, bits: in
 
 
 def most_apart(similarity: float, bits: int) -> int:
-    """Differing bits that two sets of this similarity pass once in about 300,000 times."""
+    """Differing bits that two sets of this similarity have more than once in 700 times, and more similar ones more rarely."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + 4.5 * math.sqrt(bits * p * (1 - p)))
+    return math.ceil(bits * p + 3 * math.sqrt(bits * p * (1 - p)))
 
 
 def _signatures(docs: DataFrame, n: int, seeds: int) -> DataFrame:
@@ -171,8 +171,8 @@ def _with_first(batches):
             yield pa.RecordBatch.from_arrays([pa.array(no[good]), pa.array(lead[0][at][good]), pa.array(lead[1][at][good])], ["no", "rank", "v"])
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, similarity: float, bits: int) -> DataFrame:
-    """Those of the distinct pairs ``u, v`` whose sets have the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``u, v, good``: whether the sets of each pair have the similarity."""
 
     def run(batches):
         for batch in batches:
@@ -181,17 +181,19 @@ def _similar(pairs: DataFrame, prints: DataFrame, sets: DataFrame, similarity: f
                 x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both / (len(x) + len(y) - both) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(good, pa.bool_())], ["u", "v", "good"])
 
-    def end(table: DataFrame, name: str, *columns: str) -> DataFrame:
-        return table.select(F.col("no").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in columns))
+    def end(name: str, other: str) -> DataFrame:
+        return sets.select(F.col("no").alias(name), F.col("set").alias(other))
 
-    apart = F.aggregate(F.zip_with("fps_u", "fps_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    low, high = F.least("size_u", "size_v"), F.greatest("size_u", "size_v")
-    near = (low / high >= similarity) & ((low < FEW) | (apart <= most_apart(similarity, bits)))
-    left = pairs.join(end(prints, "u", "size", "fps"), "u").join(end(prints, "v", "size", "fps"), "v").where(near).select("u", "v")
-    both = left.join(end(sets, "u", "set"), "u").join(end(sets, "v", "set"), "v")
-    return both.select("u", "v", F.col("set_u").alias("a"), F.col("set_v").alias("b")).mapInArrow(run, "u long, v long")
+    return pairs.join(end("u", "a"), "u").join(end("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long, good boolean")
+
+
+def _may_be_similar(similarity: float, seeds: int) -> Column:
+    """False where sizes or fingerprints (``size, fp0 ...`` against ``size_v, fp0_v ...``) rule the similarity out."""
+    low, high = F.least("size", "size_v"), F.greatest("size", "size_v")
+    apart = sum(F.bit_count(F.col(f"fp{s}").bitwiseXOR(F.col(f"fp{s}_v"))) for s in range(seeds))
+    return (low / high >= similarity) & ((low < FEW) | (apart <= most_apart(similarity, 64 * seeds)))
 
 
 def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, seeds: int = SEEDS, radius: int = RADIUS) -> DataFrame:
@@ -217,23 +219,29 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     edges = spark.createDataFrame([], "u long, v long")
     found = spark.createDataFrame([], "node long, component long")
     for turn in range(TURNS + 1):
-        named = nodes.join(found.withColumnRenamed("node", "no"), "no", "left").select("no", F.size("hs").alias("degree"), F.coalesce("component", "no").alias("label"), F.explode("hs").alias("h"))
+        named = nodes.join(found.withColumnRenamed("node", "no"), "no", "left").select("no", F.size("hs").alias("degree"), F.coalesce("component", "no").alias("label"), "hs")
+        rows = named.select("no", "degree", "label", F.explode("hs").alias("h"))
         # only buckets of more than one component have pairs left
-        inside = named.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("labels")).where("labels > 1")
+        inside = rows.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("labels")).where("labels > 1")
         left = inside.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2), F.lit(0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
         if not left["pairs"]:
             break
-        last = turn == TURNS or left["pairs"] <= 2 * left["rows"]
+        last = turn == TURNS or turn > 0 and left["pairs"] <= 2 * left["rows"]
         if last:
-            rows = named.join(inside.select("h"), "h")
-            pairs = rows.join(rows.select("h", F.col("no").alias("v"), F.col("label").alias("label_v")), "h").where("label < label_v").select(F.least("no", "v").alias("u"), F.greatest("no", "v").alias("v")).distinct()
+            # a pair that its fingerprints rule out leaves the join at once
+            ends = ["no", "label", "size", *(f"fp{s}" for s in range(seeds))]
+            full = named.join(prints, "no").select("no", "label", "size", *(F.col("fps")[s].alias(f"fp{s}") for s in range(seeds)), F.explode("hs").alias("h"))
+            full = full.join(inside.select("h"), "h")
+            other = full.select("h", *(F.col(c).alias("v" if c == "no" else f"{c}_v") for c in ends))
+            pairs = full.join(other, (full["h"] == other["h"]) & (F.col("label") < F.col("label_v")) & _may_be_similar(similarity, seeds)).select(F.least("no", "v").alias("u"), F.greatest("no", "v").alias("v")).distinct()
         else:
             # the set in most buckets comes first in turn 0, a drawn one later
             rank = F.col("degree").cast("long") if turn == 0 else F.xxhash64("no", F.lit(turn))
-            ordered = named.select("h", rank.alias("rank"), "no", "label").repartition("h").sortWithinPartitions("h", F.desc("rank"), "no")
+            ordered = rows.select("h", rank.alias("rank"), "no", "label").repartition("h").sortWithinPartitions("h", F.desc("rank"), "no")
             met = ordered.mapInArrow(_with_first, "no long, rank long, v long")
-            pairs = met.groupBy("no").agg(F.max(F.struct("rank", "v")).alias("c")).select(F.least("no", "c.v").alias("u"), F.greatest("no", "c.v").alias("v")).distinct()
-        edges = scratch.keep(edges.unionByName(_similar(pairs, prints, sets, similarity, 64 * seeds)))
+            pairs = met.groupBy("no").agg(F.max(F.struct("rank", "v")).alias("c")).select(F.col("no").alias("u"), "c.v")
+        compared = scratch.keep(_compared(pairs, sets, similarity))
+        edges = edges.unionByName(compared.where("good").select("u", "v"))
         found = scratch.keep(connected_components(edges))
         if last:
             break
