@@ -155,7 +155,7 @@ def refers_back(text: Column) -> Column:
 VERB_PATTERN = r"(?iu)(?:^|[^\p{L}\p{N}_])(?:" + "|".join(VERBS) + r"|[\p{L}\p{N}_]{3,}(?:as|ade|ades))(?:$|[^\p{L}\p{N}_])"
 # Statements that cannot be judged.
 CATEGORY_ERRORS = [
-    r"(?iu)(?:\d+\s*§|lagen|balken|avtalslagen|handelsbalken|brottsbalken|skadeståndslagen).*(?:dömde|dömer|dömt|dömd|fällde|fällt)\s+.*\s+(?:till\s+fängelse|till\s+böter|till\s+påföljd)",
+    r"(?iu)(?:(?<![\p{L}\p{N}_])\d+\s*§|(?<!\p{L})(?:lagen|balken|avtalslagen|handelsbalken|brottsbalken|skadeståndslagen)(?!\p{L})).*(?:dömde|dömer|dömt|dömd|fällde|fällt)\s+.*\s+(?:till\s+fängelse|till\s+böter|till\s+påföljd)",
     r"(?iu)(?:tingsrätten|hovrätten|högsta\s+domstolen|hd|hfd)\s+är\s+ett?\s+(?:mord|dråp|brott|stöld)",
     r"(?iu)personskada\s+som\s+ska\s+ersätta\s+sig\s+själv",
 ]

@@ -46,12 +46,16 @@ def conflicting(rows: DataFrame, key: Column, label: Column) -> DataFrame:
     return grouped.where(F.size("labels") > 1).select("key", F.array_join("labels", "/").alias("labels"), "n")
 
 
-def overlaps(values: DataFrame) -> DataFrame:
+def overlaps(values: DataFrame, shown: int = 5) -> DataFrame:
     """Of ``split, kind, value``: for each kind and two splits that share values, how many, and the first five."""
     v = values.where("value is not null and value <> ''").distinct()
     a, b = v.select("kind", "value", F.col("split").alias("a")), v.select("kind", "value", F.col("split").alias("b"))
-    met = a.join(b, ["kind", "value"]).where("a < b").groupBy("a", "b", "kind")
-    return met.agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("value")), 1, 5), "|").alias("examples"))
+    met = a.join(b, ["kind", "value"]).where("a < b").select("a", "b", "kind", "value")
+    counts = met.groupBy("a", "b", "kind").agg(F.count("*").alias("n"))
+    # no more than the rows that are shown leave a partition
+    first = met.withColumn("i", F.row_number().over(Window.partitionBy("a", "b", "kind").orderBy("value"))).where(F.col("i") <= shown)
+    examples = first.groupBy("a", "b", "kind").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("examples"))
+    return counts.join(examples, ["a", "b", "kind"]).select("a", "b", "kind", "n", "examples")
 
 
 def cross_role(values: DataFrame, one: str, other: str) -> DataFrame:
@@ -183,17 +187,42 @@ def stratified_sample(rows: DataFrame, by: list[str], id_col: str, size: int, gr
     return ranked.orderBy(*order).limit(size).drop("quillstone_n")
 
 
+def _ring(rows: DataFrame, by: list[str], id_col: str, other: str) -> DataFrame:
+    """``rows`` with ``pos``, their place among the ``total`` rows of their stratum in order of ``other`` and a hash, and ``start, size`` of their ``other``.
+
+    Rows are numbered within slots of the hash, and slots are counted, so no
+    task holds a stratum.
+    """
+    marked = rows.select(*by, id_col, other, F.md5(F.col(id_col).cast("string").cast("binary")).alias("draw")).withColumn("slot", F.substring("draw", 1, 2))
+    slots = marked.groupBy(*by, other, "slot").agg(F.count("*").alias("k"))
+    groups = slots.groupBy(*by, other).agg(F.sum("k").alias("size"))
+    stratum = Window.partitionBy(*by)
+    groups = groups.withColumn("total", F.sum("size").over(stratum)).withColumn("start", F.sum("size").over(stratum.orderBy(other)) - F.col("size"))
+    below = slots.withColumn("below", F.sum("k").over(Window.partitionBy(*by, other).orderBy("slot")) - F.col("k")).drop("k")
+    inside = marked.withColumn("i", F.row_number().over(Window.partitionBy(*by, other, "slot").orderBy("draw", id_col)) - 1)
+    placed = inside.join(below, [*by, other, "slot"]).join(groups, [*by, other])
+    return placed.select(*by, id_col, other, "total", "start", "size", (F.col("start") + F.col("below") + F.col("i")).alias("pos"))
+
+
 def negatives(rows: DataFrame, by: list[str], id_col: str, other: str) -> DataFrame:
-    """For each row another one of the same stratum but a different ``other``: the next by hash among the heads of the ``other`` values.
+    """For each row another one with a different ``other``: drawn by a hash of its id from all such rows of its stratum or, where it has none, of the table.
 
-    The stratum's rows are compared with two candidates only: the first row by
-    hash, and the first whose ``other`` differs from that one's.
+    Rows lie on a ring in order of ``other``; a row's draw steps past the block
+    of its own ``other``, so every other row is as likely.
     """
-    draw = F.md5(F.col(id_col).cast("string").cast("binary"))
-    first = rows.groupBy(*by).agg(F.min(F.struct(draw.alias("d"), F.col(id_col).alias("id"), F.col(other).alias("o"))).alias("a"))
-    rest = rows.join(first, by).where(F.col(other) != F.col("a.o")).groupBy(*by).agg(F.min(F.struct(draw.alias("d"), F.col(id_col).alias("id"), F.col(other).alias("o"))).alias("b"))
-    both = rows.join(first, by).join(rest, by, "left")
-    return both.select(*by, id_col, F.when(F.col("a.o") != F.col(other), F.col("a.id")).otherwise(F.col("b.id")).alias("negative"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("negative:"), F.col(id_col).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
+
+    def drawn(asked: DataFrame, ring: DataFrame, key: list[str]) -> DataFrame:
+        at = (F.col("start") + F.col("size") + draw % (F.col("total") - F.col("size"))) % F.col("total")
+        found = ring.select(*key, F.col("pos").alias("at"), F.col(id_col).alias("negative"))
+        return asked.where("total > size").withColumn("at", at).join(found, [*key, "at"]).select(id_col, "negative")
+
+    ring = _ring(rows, by, id_col, other)
+    first = drawn(ring, ring, by)
+    alone = ring.where("total = size").select(id_col)
+    whole = _ring(rows.withColumn("quillstone_all", F.lit(0)), ["quillstone_all"], id_col, other)
+    rest = drawn(whole.join(alone, id_col, "left_semi"), whole, ["quillstone_all"])
+    return rows.select(*by, id_col).join(first.unionByName(rest), id_col, "left").select(*by, id_col, "negative")
 
 
 def without_stubs(sources: Column, stub) -> Column:

@@ -66,7 +66,8 @@ def components(spark, sf_dir):
     return D.component_of(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, l_returnflag || l_partkey AS p FROM lineitem), g AS (SELECT DISTINCT a.s AS a, b.s AS b FROM e a JOIN e b USING (p)), r AS (SELECT a, b FROM g UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a)
+ SELECT component, count(*) AS n FROM (SELECT a, min('doc:' || b) AS component FROM r GROUP BY a) GROUP BY 1""")
 def component_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select("l_suppkey", F.concat("l_returnflag", F.col("l_partkey").cast("string")).alias("part"))
     return D.component_of(e, "l_suppkey", "part").groupBy("component").agg(F.count("*").alias("n"))
@@ -88,9 +89,9 @@ def stratified_sample(spark, sf_dir):
     return D.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 100)
 
 
-@query("""WITH a AS (SELECT lang, arg_min(doc_id, (md5(doc_id::VARCHAR), doc_id)) AS id, arg_min(source, (md5(doc_id::VARCHAR), doc_id)) AS o FROM documents GROUP BY lang),
- b AS (SELECT d.lang, arg_min(d.doc_id, (md5(d.doc_id::VARCHAR), d.doc_id)) AS id FROM documents d JOIN a USING (lang) WHERE d.source <> a.o GROUP BY d.lang)
- SELECT d.lang, d.doc_id, CASE WHEN a.o <> d.source THEN a.id ELSE b.id END AS negative FROM documents d JOIN a USING (lang) LEFT JOIN b USING (lang)""")
+@query("""WITH r AS (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, md5(doc_id::VARCHAR), doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total, count(*) OVER (PARTITION BY lang, source) AS size, ('0x' || substr(md5('negative:' || doc_id), 1, 8))::BIGINT AS draw FROM documents),
+ s AS (SELECT *, min(pos) OVER (PARTITION BY lang, source) AS start FROM r)
+ SELECT a.lang, a.doc_id, b.doc_id AS negative FROM s a LEFT JOIN s b ON a.lang = b.lang AND a.total > a.size AND b.pos = (a.start + a.size + a.draw % greatest(a.total - a.size, 1)) % a.total""")
 def negative_sample(spark, sf_dir):
     return D.negatives(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang"], "doc_id", "source")
 

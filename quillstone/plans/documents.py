@@ -8,14 +8,6 @@ from quillstone.functions import text as T, uri as U
 from quillstone.operators import citations as C, claims as K, families as G, structure as S
 from quillstone.registry import query, table
 
-#: Texts with citations, for the prose of the tables has none.
-CITING = [
-    (-1, "Avtalet är ogiltigt enligt 1 och 3 §§ avtalslagen. Det gäller även ränta, se 4 § räntelagen (1975:635)."),
-    (-2, "HD har i NJA 1991 s. 567 uttalat att ansvaret kräver uppsåt. Jfr prop. 2017/18:105 s. 40 f."),
-    (-3, "Artikel 6.1 i dataskyddsförordningen gäller. Se mål C-434/16, p. 34–35, och direktiv 95/46/EG."),
-]
-
-
 @query("""SELECT l_orderkey, l_linenumber, (1900 + l_orderkey % 120) || ':' || l_partkey || '#K' || l_linenumber || 'P' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN 'S' || l_linenumber WHEN l_linenumber % 3 = 0 THEN 'S1' ELSE '' END || CASE WHEN l_linenumber % 3 = 0 THEN 'N2' ELSE '' END AS uri FROM lineitem""")
 def statute_uri(spark, sf_dir):
     l, s = table(spark, sf_dir, "lineitem"), lambda c: c.cast("string")
@@ -71,28 +63,38 @@ def length_batches(spark, sf_dir):
     return G.batches(table(spark, sf_dir, "documents"), "n_chars", "doc_id", 16).select("doc_id", "bucket", "batch")
 
 
-def _texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(CITING, "doc_id long, text string"))
+_PARTS = """p AS (SELECT o_orderkey AS doc_id, (o_orderkey % 40 + 1) || ' kap. ' || (o_custkey % 60 + 1) || ' § brottsbalken' AS c1, '1962:700#K' || (o_orderkey % 40 + 1) || 'P' || (o_custkey % 60 + 1) AS u1,
+ 'NJA ' || (1990 + o_orderkey % 30) || ' s. ' || (o_custkey % 900 + 1) AS c2, 'dom/nja/' || (1990 + o_orderkey % 30) || 's' || (o_custkey % 900 + 1) AS u2,
+ 'prop. 200' || (o_orderkey % 9) || '/0' || (o_orderkey % 9 + 1) || ':' || (o_custkey % 300 + 1) || ' s. ' || (o_orderkey % 200 + 1) AS c3, 'prop/200' || (o_orderkey % 9) || '/0' || (o_orderkey % 9 + 1) || ':' || (o_custkey % 300 + 1) || '#sid' || (o_orderkey % 200 + 1) AS u3 FROM orders)"""
 
 
-@query()
+def _citing(spark, sf_dir):
+    """``doc_id, c1, c2, c3``: a provision, a case and a page of a bill, different for each order."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = lambda x: x.cast("string")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("doc_id"),
+        F.concat(s(k % 40 + 1), F.lit(" kap. "), s(c % 60 + 1), F.lit(" § brottsbalken")).alias("c1"),
+        F.concat(F.lit("NJA "), s(k % 30 + 1990), F.lit(" s. "), s(c % 900 + 1)).alias("c2"),
+        F.concat(F.lit("prop. 200"), s(k % 9), F.lit("/0"), s(k % 9 + 1), F.lit(":"), s(c % 300 + 1), F.lit(" s. "), s(k % 200 + 1)).alias("c3"),
+    )
+
+
+@query(f"""WITH {_PARTS}, s AS (SELECT *, 7 AS a1, 7 + length(c1) + 19 AS a2, 7 + length(c1) + 19 + length(c2) + 5 AS a3 FROM p)
+ SELECT doc_id, a1 AS start, a1 + length(c1) AS "end", c1 AS text, u1 AS uri, 'statute' AS kind FROM s UNION ALL SELECT doc_id, a2, a2 + length(c2), c2, u2, 'case' FROM s UNION ALL SELECT doc_id, a3, a3 + length(c3), c3, u3, 'work' FROM s""")
 def extract_citations(spark, sf_dir):
-    found = C.extract(_texts(spark, sf_dir)).select("doc_id", F.explode("refs").alias("r"))
+    text = F.concat(F.lit("Enligt "), "c1", F.lit(" gäller detta. Jfr "), "c2", F.lit(" och "), "c3", F.lit("."))
+    found = C.extract(_citing(spark, sf_dir).select("doc_id", text.alias("text"))).select("doc_id", F.explode("refs").alias("r"))
     return found.select("doc_id", "r.*")
 
 
-@query()
+@query(f"""WITH {_PARTS}, s AS (SELECT *, 'Köparen bär ansvaret (se ' || c1 || ').' AS one, 'Säljaren ska lämna varan. Det gäller även hyra (jfr ' || c2 || ').' AS two FROM p)
+ SELECT doc_id, 0 AS start, length(one) + 1 AS "end", u1 AS uri, one AS claim, 'Köparen bär ansvaret.' AS hypothesis FROM s
+ UNION ALL SELECT doc_id, length(one) + 1, length(one) + 1 + length(two), u2, two, 'Säljaren ska lämna varan. Det gäller även hyra.' FROM s""")
 def claim_context(spark, sf_dir):
-    texts = _texts(spark, sf_dir)
-    refs = C.extract(texts).where(F.size("refs") > 0)
-    return K.claims(texts.join(refs, "doc_id"))
-
-
-@query()
-def unit_plan(spark, sf_dir):
-    found = C.extract(_texts(spark, sf_dir)).select("doc_id", F.explode("refs").alias("r"))
-    plan = U.unit_plan(F.col("r.uri"), F.col("r.text"))
-    return found.select("doc_id", F.col("r.uri").alias("uri"), plan.alias("p")).select("doc_id", "uri", "p.unit_type", F.array_join("p.fragments", ",").alias("fragments"), "p.reason")
+    text = F.concat(F.lit("Köparen bär ansvaret (se "), "c1", F.lit("). Säljaren ska lämna varan. Det gäller även hyra (jfr "), "c2", F.lit(")."))
+    texts = _citing(spark, sf_dir).select("doc_id", text.alias("text"))
+    return K.claims(texts.join(C.extract(texts), "doc_id"))
 
 
 @query()
@@ -106,11 +108,6 @@ def offset_map(spark, sf_dir):
     return d.select("doc_id", F.length("m.text").alias("n"), F.size("m.offsets").alias("places"))
 
 
-@query()
-def judgment_paragraphs(spark, sf_dir):
-    return S.judgment_paragraphs(table(spark, sf_dir, "documents")).groupBy("doc_id", "role").agg(F.count("*").alias("n"))
-
-
 @query()
 def verdicts(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -60,9 +60,14 @@ def chunk_sentences(spark, sf_dir):
     return R.chunks(table(spark, sf_dir, "documents")).select("doc_id", "p_idx", "text")
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS i, text FROM (SELECT conv_id AS doc_id, turn, text FROM conversations WHERE length(trim(text)) > 15 AND length(text) <= 1500 AND NOT regexp_matches(text, '\n\s*\n'))),
+ f AS (SELECT doc_id, i, text AS open, length(text) >= 120 AS done FROM c WHERE i = 1 UNION ALL SELECT c.doc_id, c.i, CASE WHEN f.done THEN c.text ELSE f.open || chr(10) || chr(10) || c.text END, length(CASE WHEN f.done THEN c.text ELSE f.open || chr(10) || chr(10) || c.text END) >= 120 FROM f JOIN c ON c.doc_id = f.doc_id AND c.i = f.i + 1),
+ o AS (SELECT doc_id, i, open, done, max(i) OVER (PARTITION BY doc_id) AS last FROM f)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS index, trim(open) AS text FROM o WHERE done OR i = last""")
 def chunk_merge_short(spark, sf_dir):
-    return R.merge_short(table(spark, sf_dir, "documents"))
+    c = table(spark, sf_dir, "conversations").where(r"length(trim(text)) > 15 and length(text) <= 1500 and not text rlike '\\n\\s*\\n'")
+    docs = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    return R.merge_short(docs).withColumn("text", F.trim("text"))
 
 
 @query(r"""WITH q AS (SELECT conv_id, turn, role, length(text) AS score FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY score DESC, turn) AS in_role FROM q),

@@ -104,7 +104,9 @@ def shard_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 8).alias("shard")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH w AS (SELECT source, -ln(u) / n AS w, u FROM (SELECT source, n, (('0x' || substr(sha256('secret' || source), 1, 12))::BIGINT + 1) / 281474976710656.0 AS u FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1))),
+ a AS (SELECT source FROM w ORDER BY w, source LIMIT 4), b AS (SELECT source FROM w WHERE source NOT IN (SELECT source FROM a) ORDER BY u, source LIMIT 4)
+ SELECT source, 'weighted' AS kind FROM a UNION ALL SELECT source, 'uniform' FROM b""")
 def filler_sample(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return L.fillers(d, "source", "n", 8, "secret")

@@ -84,7 +84,11 @@ def content_words_overlap(spark, sf_dir):
 
 
 _VERB = T.VERB_PATTERN.replace("(?iu)", "(?i)")
-_WRONG = [p.replace("(?iu)", "(?i)") for p in T.CATEGORY_ERRORS]
+_WRONG = [
+    r"(?i)(?:(?:^|[^\p{L}\p{N}_])\d+\s*§|(?:^|[^\p{L}])(?:lagen|balken|avtalslagen|handelsbalken|brottsbalken|skadeståndslagen)(?:[^\p{L}]|$)).*(?:dömde|dömer|dömt|dömd|fällde|fällt)\s+.*\s+(?:till\s+fängelse|till\s+böter|till\s+påföljd)",
+    r"(?i)(?:tingsrätten|hovrätten|högsta\s+domstolen|hd|hfd)\s+är\s+ett?\s+(?:mord|dråp|brott|stöld)",
+    r"(?i)personskada\s+som\s+ska\s+ersätta\s+sig\s+själv",
+]
 
 
 @query(rf"""SELECT conv_id, turn, r IS NULL AS ok, r AS reason FROM (SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(trim(text), '<[^>]+>|' || chr(65533)) THEN 'unreadable'

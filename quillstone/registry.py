@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from quillstone.plans import calibration, dataset, documents, evidence, relational, spans, text  # noqa: E402, F401  they register their queries
+from quillstone.plans import calibration, checked, dataset, documents, evidence, relational, spans, text  # noqa: E402, F401  they register their queries

@@ -114,7 +114,8 @@ def test_structure(spark):
     assert [r.x for r in frame.select(X.tree_text("tree").alias("x")).collect()] == ["A\n\nbc", None]
     assert [(r.node_id, r.parent_id, r.text) for r in X.flatten_tree(frame).orderBy("node_id").collect()] == [(0, None, "A"), (1, 0, "bc"), (2, 0, "")]
     items = [("Rad", 10.0, 0.0, 100.0), ("ett", 10.0, 20.0, 100.5), ("Rad två", 10.0, 0.0, 88.0), ("Nytt", 10.0, 0.0, 60.0)]
-    assert X.page_text(items) == "Rad ett Rad två\n\nNytt"
+    glyphs = spark.createDataFrame([(1, k, *x) for k, x in enumerate(items)] + [(2, 0, "  ", 9.0, 0.0, 0.0)], "page int, seq int, str string, height double, x double, y double")
+    assert {r.page: (r.text, r.low_text) for r in X.page_blocks(glyphs).collect()} == {1: ("Rad ett Rad två\n\nNytt", True), 2: ("", True)}
     html = spark.createDataFrame([(1, "<h1>R</h1><p>a <b>b</b></p><ol><li>x</li><li>y</li></ol>"), (2, None)], "page_id long, html string")
     assert [(r.kind, r.label, r.marker, r.text) for r in X.html_blocks(html).orderBy("ord").collect()] == [("heading", "", "", "R"), ("paragraph", "R", "", "a b"), ("item", "R", "1.", "x"), ("item", "R", "2.", "y")]
 

@@ -8,7 +8,7 @@ import pytest
 from quillstone import registry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["bm25_topk", "budget_window", "span_outermost", "span_sweep_segments", "priority_merge", "leakage_overlap", "policy_three", "threshold_search", "polarity_flip", "valid_time_lookup"]
+NAMES = ["bm25_topk", "budget_window", "span_outermost", "span_sweep_segments", "priority_merge", "leakage_overlap", "policy_three", "threshold_search", "polarity_flip", "valid_time_lookup", "extract_citations", "claim_context", "negative_sample", "judgment_paragraphs", "provision_slice", "pdf_lines", "claim_segments", "joined_units", "run_summary"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 
