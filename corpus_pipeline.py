@@ -7,8 +7,8 @@ each stage's rows as Parquet and rereads them for the next.
 Rows without letters in their text go in the first stage, and with them null
 and empty texts; the other cases are defined by the operators.  Texts that
 the fourth stage empties stay as documents of no words.  An empty table packs
-nothing.  No SQL can express the stages: the tests compare ``run`` with the
-operators' brute-force versions.
+nothing.  No SQL can express the stages: the tests compare each operator with
+a brute-force version, and look at ids and columns of ``run``.
 """
 
 from __future__ import annotations
