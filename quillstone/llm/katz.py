@@ -1,34 +1,44 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised weights, partitioned tables.
 
-Two orders: p(w | h) is the discounted share of (h, w) where the pair was seen
-and otherwise alpha(h) * p(w), which in turn is the discounted share of w or,
-for an unseen word, all that the discounts left.  alpha(h) is
-``(1 - sum of discounted shares after h) / (1 - sum of p(w) over words seen
-after h)``, from the full sums, so the probabilities of the vocabulary and
-the unseen word add up to one after every h.
+``order`` words at most make an n-gram (3 by default).  p(w | h) is the
+discounted share of (h, w) where that n-gram was seen and otherwise
+alpha(h) * p(w | h without its first word); where h was not seen, p(w | h) is
+p(w | h without its first word).  p(w) is the discounted share of w or, for an
+unseen word, all that the discounts left.  alpha(h) is ``(1 - sum of discounted
+shares after h) / (1 - sum of the shorter context's p over words seen after
+h)``, from the full sums, so the probabilities of the vocabulary and the unseen
+word add up to one after every h.  A text begins with one mark: its first word
+has a context of that mark, its second of the mark and a word, and so on.
 
 Texts are read once and kept as blocks of word numbers.  Each block sends the
-words and pairs that it holds, with their training counts, to the partition
-that owns them, and gets totals back in the same order:
+n-grams that it holds, with their training counts, to the partition that owns
+them, and gets totals back in the same order:
 
 1. word counts, by word hash;
-2. pair counts, by first word; a first word with more than
-   ``max(HOT, tokens / 2**20)`` occurrences is spread over several partitions
-   by its second words.  There are at most 2**20 such words, so their sums may
-   be collected;
+2. counts of n-grams of each further length, by their context (all words but
+   the last); a context with more than ``max(HOT, tokens / 2**20)``
+   occurrences is spread over several partitions by the words after it.  There
+   are at most 2**20 such contexts of a length, so their sums may be collected;
 3. every block evaluates its own tokens.
 
+An owner also says which n-grams no other block holds.  All that follows such
+an n-gram stands in the same block, so longer ones that begin with it are
+counted there and not sent.
+
 What is sent are compressed columns of integers, so shuffles stay near the
-size of the texts.
+size of the texts.  Owners are half as many as blocks, up to 2**14; from there
+on their number grows as the root of the blocks'.
 
 Counts above ``K`` are not discounted.  Where Good-Turing numbers are missing
 or out of range, absolute discounts stand in; where nothing after h is
-discounted, one unseen event is added to h's count.  Words and pairs are told
-apart by 64-bit hashes of words and exact numbers from then on.
+discounted, one unseen event is added to h's count.  Words are told apart by
+64-bit hashes, n-grams by exact numbers from then on (spread contexts, by a
+64-bit hash of these).
 
 Nulls: a null text is empty and has its end token only; a row with a null
 doc_id is not held out.  Equal rows count each.  Without training rows every
-score is 0.  An empty table gives an empty result.
+score is 0.  An empty table gives an empty result.  Tables are written when
+``score`` is called.
 """
 
 from __future__ import annotations
@@ -41,12 +51,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillstone.llm.arrowtext import U64, Words, mix, slices
+from quillstone.llm.arrowtext import U64, Words, mix, pair, slices
 from quillstone.storage import Scratch
 
 K = 5
 HOT = 1 << 17
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
+ORDER = 3
+#: Owners are half as many as blocks up to this number.
+OWNERS = 1 << 14
 _SEED = 31337
 _END = U64(0x5E17D0C5)
 #: The number of the context before the first word.
@@ -149,176 +162,261 @@ def _first_requests(parts: int):
     return run
 
 
-_ANSWER = "level int, part int, block long, numbers binary, counts binary, after binary, sums binary, stats array<long>"
+_ANSWER = "level int, part int, block long, numbers binary, counts binary, alone binary, after binary, sums binary, stats array<long>"
+_REQUEST = "part int, block long, heads array<binary>, size binary, spread binary, w binary, counts binary, lower binary, totals binary, stats array<long>"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
 
-def _answers(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    names = [x.split()[0] for x in _ANSWER.split(", ")]
-    return pa.table({n: pa.array(list(c), t) for n, c, t in zip(names, zip(*rows), kinds)})
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], _KINDS[t]) for i, (n, t) in enumerate(fields)})
 
 
 def _first_answers(key, table):
-    """Totals of the words of one partition, and each word's rank in it (most frequent first)."""
+    """Totals of the words of one partition, whether one block alone holds each, and its rank (most frequent first)."""
     part = key[0].as_py()
     words = [unpacked(x, U64) for x in table.column("words").to_pylist()]
     counts = np.concatenate([unpacked(x, np.uint32) for x in table.column("counts").to_pylist()])
     kinds, number = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(number, counts, len(kinds)).astype(np.int64)
+    alone = np.bincount(number, minlength=len(kinds)) == 1
     order = np.argsort(-total, kind="stable")
     rank = np.empty(len(kinds), np.uint32)
     rank[order] = np.arange(len(kinds), dtype=np.uint32)
     edge = np.cumsum([0, *map(len, words)])
-    rows = [(1, part, b, packed(rank[number[i:j]]), packed(total[number[i:j]].astype(np.uint64)), b"", b"", None) for b, i, j in zip(table.column("block").to_pylist(), edge[:-1], edge[1:])]
-    return _answers([*rows, (1, part, None, b"", b"", b"", b"", [int(total.sum()), int((total > 0).sum()), *_frequencies(total)])])
+    rows = [
+        (1, part, b, packed(rank[number[i:j]]), packed(total[number[i:j]]), packed(alone[number[i:j]]), b"", b"", None)
+        for b, i, j in zip(table.column("block").to_pylist(), edge[:-1], edge[1:])
+    ]
+    return _table(_ANSWER, [*rows, (1, part, None, b"", b"", b"", b"", b"", [int(total.sum()), int((total > 0).sum()), *_frequencies(total)])])
+
+
+def _heads(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a new row begins in sorted columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _key(columns: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit value for each context."""
+    key = columns[0].view(U64)
+    for c in columns[1:]:
+        key = pair(key, c.view(U64))
+    return key
+
+
+class _Grams:
+    """The different n-grams of one length in a block.
+
+    ``of``: n-gram at each token, -1 where the text is too short for one.
+    ``prefix``, ``suffix``: n-grams one shorter.  ``columns``: their words.
+    ``total``: training count in all blocks, ``alone``: no other block holds
+    it, ``share``: discounted share, ``p``: probability of the last word.
+    """
+
+    def __init__(self, of, columns, total=None, alone=None, share=None):
+        self.of, self.columns, self.total, self.alone, self.share, self.p = of, columns, total, alone, share, share
 
 
 class _Block:
-    """A block with the totals of its words: pairs, in the order in which they are sent."""
+    """A block with the totals of its words; ``add`` forms its longer n-grams in the order in which they are sent, ``resolve`` takes their totals."""
 
-    def __init__(self, row: dict, answers: list[dict], parts: int, begins: int, hot: float):
+    def __init__(self, row: dict, answers: list[dict], parts: int, begins: int, edge: float, unigram: Unigram):
         words = unpacked(row["words"], U64)
-        self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int64)
+        self.parts, self.edge, self.answers = parts, edge, answers
+        self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int32)
         self.sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
         self.held = np.frombuffer(row["held"], bool)
+        self.learn = np.repeat(~self.held, self.sizes)
+        self.start = np.cumsum(self.sizes) - self.sizes
+        n = self.kinds = len(words)
+        # the mark before the first word has the last place
+        self.number, total, alone = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
+        self.number[n], total[n] = _BEGIN, begins
         to = (words % U64(parts)).astype(np.int64)
-        self.number, self.count = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         order = np.argsort(to, kind="stable")
-        edge = np.searchsorted(to[order], np.arange(parts + 1))
+        edges = np.searchsorted(to[order], np.arange(parts + 1))
         for a in answers:
             if a["level"] == 1:
                 b = a["part"]
-                at = order[edge[b] : edge[b + 1]]
+                at = order[edges[b] : edges[b + 1]]
                 self.number[at] = unpacked(a["numbers"], np.uint32).astype(np.int64) * parts + b
-                self.count[at] = unpacked(a["counts"], U64).astype(np.int64)
-        n, start = len(words), np.cumsum(self.sizes) - self.sizes
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[start] = n
-        kinds, self.pair_of = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
-        learn = np.repeat(~self.held, self.sizes)
-        self.pair_count = np.bincount(self.pair_of[learn], minlength=len(kinds)).astype(np.uint32)
-        self.first, self.second = kinds // (n + 1), kinds % (n + 1)
-        number, count = np.append(self.number, _BEGIN), np.append(self.count, begins)
-        self.h, self.w = number[self.first], number[self.second]
-        self.h_count = count[self.first]
-        self.w_count = count[self.second]
-        self.spread = np.maximum(1, np.ceil(self.h_count / hot)).astype(np.int64)
-        salt = (mix(self.w.view(U64)) % self.spread.astype(U64)).astype(U64)
-        self.part = (mix(self.h.view(U64) + salt * U64(0x9E3779B97F4A7C15)) % U64(parts)).astype(np.int64)
-        self.order = np.lexsort((self.w, self.h, self.part))
-        self.edge = np.searchsorted(self.part[self.order], np.arange(parts + 1))
-
-    def sent(self, b: int) -> np.ndarray:
-        return self.order[self.edge[b] : self.edge[b + 1]]
-
-
-def _heads(h: np.ndarray) -> np.ndarray:
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    return np.flatnonzero(new)
-
+                total[at], alone[at] = unpacked(a["counts"], np.int64), unpacked(a["alone"], bool)
+        self.grams = [_Grams(self.tokens, [np.arange(n + 1, dtype=np.int32)], total, alone, unigram.p(total))]
+
+    def add(self) -> _Grams:
+        low, n, level = self.grams[-1], self.kinds, len(self.grams) + 1
+        before = np.empty_like(low.of)
+        before[1:] = low.of[:-1]
+        before[self.start] = n if level == 2 else -1
+        valid = before >= 0
+        kinds, inverse = np.unique(before[valid].astype(np.int64) * (n + 1) + self.tokens[valid], return_inverse=True)
+        g = _Grams(np.full(len(before), -1, np.int32), None)
+        g.of[valid] = inverse
+        g.prefix, g.word = (kinds // (n + 1)).astype(np.int32), (kinds % (n + 1)).astype(np.int32)
+        g.suffix = np.empty(len(kinds), np.int32)
+        g.suffix[inverse] = low.of[valid]
+        g.count = np.bincount(inverse[self.learn[valid]], minlength=len(kinds)).astype(np.uint32)
+        g.columns = [*(c[g.prefix] for c in low.columns), g.word]
+        at = np.flatnonzero(~low.alone[g.prefix])
+        h, w = [self.number[c[at]] for c in g.columns[:-1]], self.number[g.word[at]]
+        spread = np.maximum(1, np.ceil(low.total[g.prefix[at]] / self.edge)).astype(np.int64)
+        salt = mix(w.view(U64)) % spread.view(U64)
+        part = (mix(_key(h) + salt * U64(0x9E3779B97F4A7C15)) % U64(self.parts)).astype(np.int64)
+        order = np.lexsort((w, *h[::-1], part))
+        g.sent, g.h, g.w, g.spread = at[order], [x[order] for x in h], w[order], spread[order]
+        g.edges = np.searchsorted(part[order], np.arange(self.parts + 1))
+        self.grams.append(g)
+        return g
+
+    def resolve(self, d: np.ndarray, hot: tuple) -> None:
+        level, low, g = len(self.grams), self.grams[-2], self.grams[-1]
+        contexts = len(low.total)
+        local = low.alone[g.prefix]
+        g.total, g.alone = g.count.astype(np.int64), local.copy()
+        after, sums = np.zeros((K, contexts), np.uint32), np.zeros(contexts)
+        for a in self.answers:
+            if a["level"] == level:
+                i, j = g.edges[a["part"]], g.edges[a["part"] + 1]
+                at = g.sent[i:j]
+                g.total[at], g.alone[at] = unpacked(a["counts"], np.int64), unpacked(a["alone"], bool)
+                h = g.prefix[at[_heads([x[i:j] for x in g.h])]]
+                after[:, h] = unpacked(a["after"], np.uint32).reshape(K, len(h))
+                sums[h] = unpacked(a["sums"], np.float64)
+        if len(hot[0]):
+            many = np.flatnonzero(g.spread > 1)
+            where = np.searchsorted(hot[0], _key([x[many] for x in g.h]))
+            h = g.prefix[g.sent[many]]
+            after[:, h], sums[h] = hot[1][:, where], hot[2][where]
+        at = np.flatnonzero(local & (g.total > 0))
+        h = g.prefix[at]
+        for r in range(1, K + 1):
+            after[r - 1] += np.bincount(h[g.total[at] == r], minlength=contexts).astype(np.uint32)
+        sums += np.bincount(h, low.share[g.suffix[at]], contexts)
+        g.totals, alpha = alphas(low.total, after, sums, d)
+        g.share = d[np.minimum(g.total, K + 1)] * g.total / np.maximum(g.totals[g.prefix], 1)
+        lower = low.p[g.suffix]
+        g.p = np.where(low.total[g.prefix] > 0, np.where(g.total > 0, g.share, alpha[g.prefix] * lower), lower)
+        # done with: what is left serves the next length
+        g.h = g.w = g.spread = g.sent = None
+
+
+def _block(row: dict, answers: list[dict], parts: int, begins: int, edge: float, shared) -> _Block:
+    """A block with all n-grams whose totals are known."""
+    unigram, levels = shared.value
+    block = _Block(row, answers, parts, begins, edge, unigram)
+    for d, hot in levels:
+        block.add()
+        block.resolve(d, hot)
+    return block
+
+
+def _requests(parts: int, begins: int, edge: float, shared):
+    """N-grams one longer than those whose totals are known, for their owners."""
 
-def _second_requests(parts: int, begins: int, hot: float):
     def run(key, left, right):
         out = []
+        answers = right.to_pylist()
         for row in left.to_pylist():
-            block = _Block(row, right.to_pylist(), parts, begins, hot)
+            block = _block(row, answers, parts, begins, edge, shared)
+            low, g = block.grams[-1], block.add()
             for b in range(parts):
-                at = block.sent(b)
-                if len(at):
-                    h = block.h[at]
+                i, j = g.edges[b], g.edges[b + 1]
+                if j > i:
+                    at, h = g.sent[i:j], [x[i:j] for x in g.h]
                     head = _heads(h)
-                    size = np.diff(np.append(head, len(at))).astype(np.uint32)
-                    step = np.diff(np.append([np.int64(0)], h[head])).astype(np.int64)
-                    spread = (block.spread[at][head] > 1).astype(np.uint8)
-                    out.append((b, row["block"], packed(step), packed(size), packed(spread), packed(block.w[at]), packed(block.pair_count[at]), packed(block.w_count[at].astype(np.uint64))))
-        names, kinds = ["part", "block", "h", "size", "spread", "w", "counts", "w_counts"], [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate(zip(names, kinds))})
+                    size = np.diff(np.append(head, j - i)).astype(np.uint32)
+                    step = np.diff(np.append([np.int64(0)], h[0][head])).astype(np.int64)
+                    totals = packed(low.totals[low.prefix[g.suffix[at[head]]]]) if len(h) > 1 else b""
+                    spread = (g.spread[i:j][head] > 1).astype(np.uint8)
+                    out.append((b, row["block"], [packed(step), *(packed(x[head]) for x in h[1:])], packed(size), packed(spread), packed(g.w[i:j]), packed(g.count[at]), packed(low.total[g.suffix[at]]), totals, None))
+            own = _frequencies(g.count[low.alone[g.prefix]])
+            if any(own):
+                out.append((row["block"] % parts, None, [], *[b""] * 6, own))
+        return _table(_REQUEST, out)
 
     return run
 
 
-def _second_answers(unigram: Unigram):
-    """Totals of the pairs of one partition; per first word, the kinds seen 1 ... K times after it and the sum of p over all words seen after it."""
+def _owned(level: int, shared):
+    """Totals of the n-grams of one partition; per context, the kinds seen 1 ... K times after it and the sum of the shorter context's p over all words seen after it."""
+
+    def lower(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+        # a seen n-gram's shorter ones were seen, too: p is their share
+        unigram, levels = shared.value
+        return unigram.p(counts) if level == 2 else levels[-1][0][np.minimum(counts, K + 1)] * counts / np.maximum(totals, 1)
 
     def run(key, table):
         part = key[0].as_py()
         rows = table.to_pylist()
+        stats = np.sum([r["stats"] for r in rows if r["stats"]] or [[0] * (K + 1)], axis=0)
+        rows = [r for r in rows if r["block"] is not None]
+        if not rows:
+            return _table(_ANSWER, [(level, part, None, b"", b"", b"", b"", b"", [0, 0, *map(int, stats)])])
         size = [unpacked(r["size"], np.uint32) for r in rows]
-        heads = [np.cumsum(unpacked(r["h"], np.int64)) for r in rows]
-        h = np.concatenate([np.repeat(x, n) for x, n in zip(heads, size)])
-        spread = np.concatenate([np.repeat(unpacked(r["spread"], np.uint8), n) for r, n in zip(rows, size)])
-        w = np.concatenate([unpacked(r["w"], np.int64) for r in rows])
-        counts = np.concatenate([unpacked(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-        w_counts = np.concatenate([unpacked(r["w_counts"], U64) for r in rows]).astype(np.int64)
-        order = np.lexsort((w, h))
-        hs, ws = h[order], w[order]
-        new = np.ones(len(hs), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (ws[1:] != ws[:-1])
-        pair = np.empty(len(h), np.int64)
-        pair[order] = np.cumsum(new) - 1
-        total = np.bincount(pair, counts, int(new.sum())).astype(np.int64)
-        ph, pc, hot = hs[new], w_counts[order][new], spread[order][new]
+        all_sizes = np.concatenate(size)
+        first = np.repeat(np.concatenate([np.cumsum(unpacked(r["heads"][0], np.int64)) for r in rows]), all_sizes)
+        h = [first, *(np.repeat(np.concatenate([unpacked(r["heads"][c], np.int64) for r in rows]), all_sizes) for c in range(1, level - 1))]
+        column = lambda name, kind: np.concatenate([unpacked(r[name], kind) for r in rows])
+        w, counts = column("w", np.int64), column("counts", np.uint32)
+        order = np.lexsort((w, *h[::-1]))
+        new = _heads([x[order] for x in (*h, w)])
+        gram = np.empty(len(w), np.int64)
+        gram[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(w))))
+        total = np.bincount(gram, counts, len(new)).astype(np.int64)
+        alone = np.bincount(gram, minlength=len(new)) == 1
+        one = order[new]
+        ph = [x[one] for x in h]
         head = _heads(ph)
+        context = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(new))))
+        totals = np.repeat(column("totals", np.int64), all_sizes)[one] if level > 2 else None
         # p is summed in the order of w: the same for all that ask
         after = np.stack([np.add.reduceat((total == r).astype(np.int64), head) for r in range(1, K + 1)])
-        sums = np.add.reduceat(np.where(total > 0, unigram.p(pc), 0.0), head)
+        sums = np.add.reduceat(np.where(total > 0, lower(column("lower", np.int64)[one], totals), 0.0), head)
         out, at = [], 0
-        for r, x, n in zip(rows, heads, size):
-            m = int(n.sum())
-            where = np.searchsorted(ph[head], x)
-            out.append((2, part, r["block"], b"", packed(total[pair[at : at + m]].astype(np.uint64)), packed(after[:, where].reshape(-1).astype(np.uint32)), packed(sums[where]), None))
-            at += m
-        out.append((2, part, None, b"", b"", b"", b"", [0, 0, *_frequencies(total)]))
-        many = np.flatnonzero(hot[head] > 0)
+        for r, n in zip(rows, size):
+            starts = np.cumsum(n, dtype=np.int64)
+            mine = gram[at : at + int(starts[-1])]
+            where = context[mine[starts - n]]
+            out.append((level, part, r["block"], b"", packed(total[mine]), packed(alone[mine]), packed(after[:, where].reshape(-1).astype(np.uint32)), packed(sums[where]), None))
+            at += len(mine)
+        out.append((level, part, None, b"", b"", b"", b"", b"", [0, 0, *(int(a + b) for a, b in zip(stats, _frequencies(total)))]))
+        many = np.flatnonzero(np.repeat(column("spread", np.uint8), all_sizes)[one][head])
         if len(many):
-            out.append((3, part, None, packed(ph[head][many]), b"", packed(after[:, many].reshape(-1).astype(np.uint32)), packed(sums[many]), None))
-        return _answers(out)
+            keys = _key([x[head][many] for x in ph])
+            out.append((-level, part, None, packed(keys), b"", b"", packed(after[:, many].reshape(-1).astype(np.uint32)), packed(sums[many]), None))
+        return _table(_ANSWER, out)
 
     return run
 
 
 def alphas(h_count: np.ndarray, after: np.ndarray, sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per first word: the denominator of its shares and its backoff weight."""
-    lost = ((1 - d[1 : K + 1])[:, None] * np.arange(1, K + 1)[:, None] * after).sum(0)
+    """Per context: the denominator of its shares and its backoff weight."""
+    lost = np.zeros(len(h_count))
+    for r in range(1, K + 1):
+        lost += (1 - d[r]) * r * after[r - 1]
     total = np.where(lost > 0, h_count, h_count + 1)
     left = np.where(lost > 0, lost, 1.0) / np.maximum(total, 1)
     return total, left / np.maximum(1 - sums, 1e-300)
 
 
-def _evaluate(parts: int, begins: int, hot: float, shared, kind: pa.DataType):
+def _evaluate(parts: int, begins: int, edge: float, shared, kind: pa.DataType):
     def run(key, left, right):
-        unigram, d, hot_words = shared.value
+        unigram = shared.value[0]
         ids, cols = [], []
+        answers = right.to_pylist()
         for row in left.to_pylist():
-            answers = right.to_pylist()
-            block = _Block(row, answers, parts, begins, hot)
-            pairs = len(block.h)
-            total, alpha, seen = np.zeros(pairs), np.ones(pairs), np.zeros(pairs, np.int64)
-            for a in answers:
-                if a["level"] == 2:
-                    at = block.sent(a["part"])
-                    seen[at] = unpacked(a["counts"], U64).astype(np.int64)
-                    head = _heads(block.h[at])
-                    after = unpacked(a["after"], np.uint32).reshape(K, len(head)).astype(np.int64)
-                    t, x = alphas(block.h_count[at][head], after, unpacked(a["sums"], np.float64), d)
-                    size = np.diff(np.append(head, len(at)))
-                    total[at], alpha[at] = np.repeat(t, size), np.repeat(x, size)
-            if len(hot_words[0]):
-                many = np.flatnonzero(block.spread > 1)
-                where = np.searchsorted(hot_words[0], block.h[many])
-                t, x = alphas(block.h_count[many], hot_words[1][:, where], hot_words[2][where], d)
-                total[many], alpha[many] = t, x
-            lower = unigram.p(block.w_count)
-            share = d[np.minimum(seen, K + 1)] * seen / np.maximum(total, 1)
-            p = np.where(block.h_count > 0, np.where(seen > 0, share, alpha * lower), lower)
-            log = np.log10(np.maximum(p, 1e-300))[block.pair_of]
-            start = np.cumsum(block.sizes) - block.sizes
-            c = block.count[block.tokens]
+            block = _block(row, answers, parts, begins, edge, shared)
+            p = block.grams[0].p[block.tokens]
+            for g in block.grams[1:]:
+                there = g.of >= 0
+                p[there] = g.p[g.of[there]]
+            log = np.log10(np.maximum(p, 1e-300))
+            c = block.grams[0].total[block.tokens]
             base = np.log10((c + 1) / (unigram.tokens + unigram.kinds + 1))
             ids += row["doc_ids"]
-            cols.append((block.held, block.sizes, np.add.reduceat(c > 0, start, dtype=np.int64), np.add.reduceat(base, start), np.add.reduceat(log, start)))
+            cols.append((block.held, block.sizes, np.add.reduceat(c > 0, block.start, dtype=np.int64), np.add.reduceat(base, block.start), np.add.reduceat(log, block.start)))
         held, n, known, base, score = (np.concatenate(x) for x in zip(*cols)) if cols else [np.zeros(0)] * 5
         return pa.table(
             {
@@ -335,33 +433,41 @@ def _evaluate(parts: int, begins: int, hot: float, shared, kind: pa.DataType):
     return run
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, hot: int = HOT) -> DataFrame:
+def owners(blocks: int, least: int) -> int:
+    half = blocks // 2
+    return max(least, half if half <= OWNERS else int((half * OWNERS) ** 0.5))
+
+
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, hot: int = HOT, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
 
-    The model is learned from the rows whose crc32 of the id is not ``fold`` modulo ``folds``.
+    The model is learned from the rows whose crc32 of the id is not ``fold``
+    modulo ``folds``, with n-grams of ``order`` words at most.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = scratch.keep(blocks(docs, folds, fold))
+    parts = owners(texts.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     asked = texts.select("block", "words", "counts").mapInArrow(_first_requests(parts), "part int, block long, words binary, counts binary")
-    words = scratch.keep(asked.groupBy("part").applyInArrow(_first_answers, _ANSWER))
+    words = scratch.keep(asked.repartition(parts, "part").groupBy("part").applyInArrow(_first_answers, _ANSWER))
     stats = _stats(words)
     if stats is None:
         return spark.createDataFrame([], schema)
-    unigram = Unigram(stats[0], stats[1], stats[2:])
+    unigram, levels = Unigram(stats[0], stats[1], stats[2:]), []
     begins = sum(r[0] for r in texts.select("held").mapInArrow(_training_texts, "n long").groupBy().sum().collect() if r[0])
     edge = max(float(hot), stats[0] / 2**20)
-    numbered = words.where("block is not null")
-    asked = texts.groupBy("block").cogroup(numbered.groupBy("block")).applyInArrow(_second_requests(parts, begins, edge), "part int, block long, h binary, size binary, spread binary, w binary, counts binary, w_counts binary")
-    pairs = scratch.keep(asked.groupBy("part").applyInArrow(_second_answers(unigram), _ANSWER))
-    d = discounts(_stats(pairs)[2:])
-    shared = spark.sparkContext.broadcast((unigram, d, _hot_words(pairs)))
-    answers = numbered.unionByName(pairs.where("block is not null"))
-    ids = docs.schema["doc_id"].dataType
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_evaluate(parts, begins, edge, shared, to_arrow_type(ids)), schema)
+    answers = words.where("block is not null")
+    at_blocks = lambda: texts.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
+    shared = spark.sparkContext.broadcast((unigram, levels))
+    for level in range(2, order + 1):
+        asked = at_blocks().applyInArrow(_requests(parts, begins, edge, shared), _REQUEST)
+        found = scratch.keep(asked.repartition(parts, "part").groupBy("part").applyInArrow(_owned(level, shared), _ANSWER))
+        levels = [*levels, (discounts(_stats(found)[2:]), _hot_contexts(found))]
+        shared = spark.sparkContext.broadcast((unigram, levels))
+        answers = answers.unionByName(found.where("block is not null"))
+    return at_blocks().applyInArrow(_evaluate(parts, begins, edge, shared, to_arrow_type(docs.schema["doc_id"].dataType)), schema)
 
 
 def _training_texts(batches):
@@ -376,8 +482,8 @@ def _stats(table: DataFrame) -> list[int] | None:
     return [int(got[i]) for i in range(K + 3)] if got else None
 
 
-def _hot_words(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over all partitions for the first words that are spread; 2**20 at most."""
+def _hot_contexts(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums over all partitions for the contexts that are spread; 2**20 at most."""
 
     def rows(batches):
         for batch in batches:
@@ -386,6 +492,8 @@ def _hot_words(table: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 after = unpacked(x["after"], np.uint32).reshape(K, len(h)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(h), *(pa.array(v) for v in after), pa.array(unpacked(x["sums"], np.float64))], ["h", *(f"n{r}" for r in range(1, K + 1)), "s"])
 
-    flat = table.where("level = 3").select("numbers", "after", "sums").mapInArrow(rows, "h long, " + ", ".join(f"n{r} long" for r in range(1, K + 1)) + ", s double")
-    got = flat.groupBy("h").agg(*(F.sum(c).alias(c) for c in flat.columns[1:])).orderBy("h").collect()
-    return np.array([r[0] for r in got], np.int64), np.array([r[1:-1] for r in got], np.int64).reshape(len(got), K).T, np.array([r[-1] for r in got])
+    flat = table.where("level < 0").select("numbers", "after", "sums").mapInArrow(rows, "h long, " + ", ".join(f"n{r} long" for r in range(1, K + 1)) + ", s double")
+    got = flat.groupBy("h").agg(*(F.sum(c).alias(c) for c in flat.columns[1:])).collect()
+    key = np.array([r[0] for r in got], np.int64).view(U64)
+    by = np.argsort(key)
+    return key[by], np.array([r[1:-1] for r in got], np.int64).reshape(len(got), K).T[:, by], np.array([r[-1] for r in got])[by]

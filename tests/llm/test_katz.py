@@ -14,52 +14,53 @@ def words(text):
 
 
 class Plain:
-    def __init__(self, texts):
-        self.one, self.two = Counter(), Counter()
+    def __init__(self, texts, order):
+        self.count = [Counter() for _ in range(order)]
         for t in texts:
             w = words(t)
-            self.one.update(w)
-            self.two.update(zip([b""] + w, w))
-        freq = lambda c: [sum(v == r for v in c.values()) for r in range(1, K + 2)]
-        self.n = sum(self.one.values())
-        self.d1, self.d2 = discounts(freq(self.one)), discounts(freq(self.two))
-        self.h = Counter()
+            self.count[0].update((x,) for x in w)
+            for m in range(2, order + 1):
+                marked = [b""] + w
+                self.count[m - 1].update(tuple(marked[i : i + m]) for i in range(len(marked) - m + 1))
+        self.d = [discounts([sum(v == r for v in c.values()) for r in range(1, K + 2)]) for c in self.count]
+        self.n = sum(self.count[0].values())
         self.after = defaultdict(list)
-        for (h, w), c in self.two.items():
-            self.h[h] += c
-            self.after[h].append((w, c))
-        self.lost = sum((1 - self.d1[min(c, K + 1)]) * c for c in self.one.values())
-
-    def p1(self, w):
-        if not self.n:
-            return 1.0
-        total = self.n if self.lost > 0 else self.n + 1
-        return self.d1[min(self.one[w], K + 1)] * self.one[w] / total if self.one[w] else (self.lost if self.lost > 0 else 1.0) / total
+        for c in self.count:
+            for g, k in c.items():
+                self.after[g[:-1]].append((g[-1], k))
 
     def p(self, h, w):
-        if not self.h[h]:
-            return self.p1(w)
-        lost = sum((1 - self.d2[min(c, K + 1)]) * c for _, c in self.after[h])
-        total = self.h[h] if lost > 0 else self.h[h] + 1
-        if c := self.two[h, w]:
-            return self.d2[min(c, K + 1)] * c / total
+        """h: a tuple of words, the mark of the beginning among them."""
+        seen = self.after[h]
+        if not seen:
+            return self.p(h[1:], w) if h else 1.0
+        d, n = self.d[len(h)], sum(c for _, c in seen)
+        lost = sum((1 - d[min(c, K + 1)]) * c for _, c in seen)
+        total = n if lost > 0 else n + 1
+        if c := self.count[len(h)][*h, w]:
+            return d[min(c, K + 1)] * c / total
         left = (lost if lost > 0 else 1.0) / total
-        return left / (1 - sum(self.p1(x) for x, _ in self.after[h])) * self.p1(w)
+        return left / (1 - sum(self.p(h[1:], x) for x, _ in seen)) * self.p(h[1:], w) if h else left
+
+    def score(self, text):
+        w = words(text)
+        before = lambda i: tuple(([b""] + w)[max(0, i + 2 - len(self.count)) : i + 1]) if len(self.count) > 1 else ()
+        return sum(math.log10(self.p(before(i), x)) for i, x in enumerate(w))
 
 
 TEXTS = ["the cat sat on the mat", "The cat sat on the hat", "a dog sat", "", None, "the the the the the the the the the the", "cat", "the cat sat on the mat", "a cat and a dog and a cat", "unseen words here\tand\nthere", "x y x y x y x y x y x y x y x y"] * 2
 
 
-@pytest.mark.parametrize("hot", [1 << 17, 3])
-def test_scores_match_plain(spark, hot):
+@pytest.mark.parametrize(("hot", "order"), [(1 << 17, 3), (3, 3), (1 << 17, 1), (2, 2), (2, 4)])
+def test_scores_match_plain(spark, hot, order):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, "the cat", "y"), (5, "the cat sat", "z")]
-    got = score(spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3), hot=hot).collect()
+    got = score(spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3), hot=hot, order=order).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    model = Plain([t for i, t, _ in rows if not held(i)])
+    model = Plain([t for i, t, _ in rows if not held(i)], order)
     want = []
     for i, t, _ in rows:
         w = words(t)
-        want.append((str(i), held(i), len(w), sum(model.one[x] > 0 for x in w), model.n, sum(math.log10((model.one[x] + 1) / (model.n + len(model.one) + 1)) for x in w), sum(math.log10(model.p(h, x)) for h, x in zip([b""] + w, w))))
+        want.append((str(i), held(i), len(w), sum(model.count[0][x,] > 0 for x in w), model.n, sum(math.log10((model.count[0][x,] + 1) / (model.n + len(model.count[0]) + 1)) for x in w), model.score(t)))
     key = lambda r: (r[0], r[2], round(r[6], 6))
     assert len(got) == len(rows) and any(r.held_out for r in got)
     for a, b in zip(sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=key), sorted(want, key=key)):
@@ -67,11 +68,11 @@ def test_scores_match_plain(spark, hot):
 
 
 def test_shares_add_up_to_one():
-    model = Plain([t for t in TEXTS])
-    kinds = [*model.one, b"never seen"]
-    assert sum(map(model.p1, kinds)) == pytest.approx(1)
-    for h in [*model.h, b"never seen"]:
-        assert sum(model.p(h, w) for w in kinds) == pytest.approx(1)
+    model = Plain(TEXTS, 3)
+    kinds = [w for w, in model.count[0]] + [b"never seen"]
+    for h in [*model.after, (b"never seen",), (b"the", b"never seen")]:
+        if len(h) < 3:
+            assert sum(model.p(h, w) for w in kinds) == pytest.approx(1)
     assert Unigram(0, 0, [0] * (K + 1)).unseen == 1
 
 
