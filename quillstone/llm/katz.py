@@ -162,7 +162,7 @@ def _first_requests(parts: int):
     return run
 
 
-_ANSWER = "level int, part int, block long, numbers binary, counts binary, alone binary, after binary, sums binary, stats array<long>"
+_ANSWER = "level int, part int, block long, numbers binary, counts binary, alone binary, lost binary, after binary, sums binary, stats array<long>"
 _REQUEST = "part int, block long, heads array<binary>, size binary, spread binary, w binary, counts binary, lower binary, totals binary, stats array<long>"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
 
@@ -185,10 +185,10 @@ def _first_answers(key, table):
     rank[order] = np.arange(len(kinds), dtype=np.uint32)
     edge = np.cumsum([0, *map(len, words)])
     rows = [
-        (1, part, b, packed(rank[number[i:j]]), packed(total[number[i:j]]), packed(alone[number[i:j]]), b"", b"", None)
+        (1, part, b, packed(rank[number[i:j]]), packed(total[number[i:j]]), packed(alone[number[i:j]]), b"", b"", b"", None)
         for b, i, j in zip(table.column("block").to_pylist(), edge[:-1], edge[1:])
     ]
-    return _table(_ANSWER, [*rows, (1, part, None, b"", b"", b"", b"", b"", [int(total.sum()), int((total > 0).sum()), *_frequencies(total)])])
+    return _table(_ANSWER, [*rows, (1, part, None, *[b""] * 6, [int(total.sum()), int((total > 0).sum()), *_frequencies(total)])])
 
 
 def _heads(columns: list[np.ndarray]) -> np.ndarray:
@@ -264,7 +264,8 @@ class _Block:
         spread = np.maximum(1, np.ceil(low.total[g.prefix[at]] / self.edge)).astype(np.int64)
         salt = mix(w.view(U64)) % spread.view(U64)
         part = (mix(_key(h) + salt * U64(0x9E3779B97F4A7C15)) % U64(self.parts)).astype(np.int64)
-        order = np.lexsort((w, *h[::-1], part))
+        # n-grams of a context stand together already
+        order = np.argsort(part.astype(np.uint16) if self.parts < 1 << 16 else part, kind="stable")
         g.sent, g.h, g.w, g.spread = at[order], [x[order] for x in h], w[order], spread[order]
         g.edges = np.searchsorted(part[order], np.arange(self.parts + 1))
         self.grams.append(g)
@@ -275,30 +276,33 @@ class _Block:
         contexts = len(low.total)
         local = low.alone[g.prefix]
         g.total, g.alone = g.count.astype(np.int64), local.copy()
-        after, sums = np.zeros((K, contexts), np.uint32), np.zeros(contexts)
+        after, sums, lost = np.zeros((K, contexts), np.uint32), np.zeros(contexts), np.zeros(contexts, bool)
         for a in self.answers:
             if a["level"] == level:
                 i, j = g.edges[a["part"]], g.edges[a["part"] + 1]
                 at = g.sent[i:j]
                 g.total[at], g.alone[at] = unpacked(a["counts"], np.int64), unpacked(a["alone"], bool)
-                h = g.prefix[at[_heads([x[i:j] for x in g.h])]]
+                head = _heads([x[i:j] for x in g.h])
+                h = g.prefix[at[head]]
+                lost[h] = unpacked(a["lost"], bool)
+                h = h[_backing(g.total[at], head)]
                 after[:, h] = unpacked(a["after"], np.uint32).reshape(K, len(h))
                 sums[h] = unpacked(a["sums"], np.float64)
         if len(hot[0]):
             many = np.flatnonzero(g.spread > 1)
             where = np.searchsorted(hot[0], _key([x[many] for x in g.h]))
             h = g.prefix[g.sent[many]]
-            after[:, h], sums[h] = hot[1][:, where], hot[2][where]
+            after[:, h], sums[h], lost[h] = hot[1][:, where], hot[2][where], hot[1][:, where].any(0)
         at = np.flatnonzero(local & (g.total > 0))
         h = g.prefix[at]
         for r in range(1, K + 1):
             after[r - 1] += np.bincount(h[g.total[at] == r], minlength=contexts).astype(np.uint32)
         sums += np.bincount(h, low.share[g.suffix[at]], contexts)
-        g.totals, alpha = alphas(low.total, after, sums, d)
+        g.totals, alpha = alphas(low.total, lost | after.any(0), after, sums, d)
         g.share = d[np.minimum(g.total, K + 1)] * g.total / np.maximum(g.totals[g.prefix], 1)
         lower = low.p[g.suffix]
         g.p = np.where(low.total[g.prefix] > 0, np.where(g.total > 0, g.share, alpha[g.prefix] * lower), lower)
-        # done with: what is left serves the next length
+        # what is left serves the next length
         g.h = g.w = g.spread = g.sent = None
 
 
@@ -327,10 +331,9 @@ def _requests(parts: int, begins: int, edge: float, shared):
                     at, h = g.sent[i:j], [x[i:j] for x in g.h]
                     head = _heads(h)
                     size = np.diff(np.append(head, j - i)).astype(np.uint32)
-                    step = np.diff(np.append([np.int64(0)], h[0][head])).astype(np.int64)
                     totals = packed(low.totals[low.prefix[g.suffix[at[head]]]]) if len(h) > 1 else b""
                     spread = (g.spread[i:j][head] > 1).astype(np.uint8)
-                    out.append((b, row["block"], [packed(step), *(packed(x[head]) for x in h[1:])], packed(size), packed(spread), packed(g.w[i:j]), packed(g.count[at]), packed(low.total[g.suffix[at]]), totals, None))
+                    out.append((b, row["block"], [packed(x[head]) for x in h], packed(size), packed(spread), packed(g.w[i:j]), packed(g.count[at]), packed(low.total[g.suffix[at]]), totals, None))
             own = _frequencies(g.count[low.alone[g.prefix]])
             if any(own):
                 out.append((row["block"] % parts, None, [], *[b""] * 6, own))
@@ -353,11 +356,10 @@ def _owned(level: int, shared):
         stats = np.sum([r["stats"] for r in rows if r["stats"]] or [[0] * (K + 1)], axis=0)
         rows = [r for r in rows if r["block"] is not None]
         if not rows:
-            return _table(_ANSWER, [(level, part, None, b"", b"", b"", b"", b"", [0, 0, *map(int, stats)])])
+            return _table(_ANSWER, [(level, part, None, *[b""] * 6, [0, 0, *map(int, stats)])])
         size = [unpacked(r["size"], np.uint32) for r in rows]
         all_sizes = np.concatenate(size)
-        first = np.repeat(np.concatenate([np.cumsum(unpacked(r["heads"][0], np.int64)) for r in rows]), all_sizes)
-        h = [first, *(np.repeat(np.concatenate([unpacked(r["heads"][c], np.int64) for r in rows]), all_sizes) for c in range(1, level - 1))]
+        h = [np.repeat(np.concatenate([unpacked(r["heads"][c], np.int64) for r in rows]), all_sizes) for c in range(level - 1)]
         column = lambda name, kind: np.concatenate([unpacked(r[name], kind) for r in rows])
         w, counts = column("w", np.int64), column("counts", np.uint32)
         order = np.lexsort((w, *h[::-1]))
@@ -373,32 +375,36 @@ def _owned(level: int, shared):
         totals = np.repeat(column("totals", np.int64), all_sizes)[one] if level > 2 else None
         # p is summed in the order of w: the same for all that ask
         after = np.stack([np.add.reduceat((total == r).astype(np.int64), head) for r in range(1, K + 1)])
+        lost = after.any(0)
         sums = np.add.reduceat(np.where(total > 0, lower(column("lower", np.int64)[one], totals), 0.0), head)
         out, at = [], 0
         for r, n in zip(rows, size):
             starts = np.cumsum(n, dtype=np.int64)
             mine = gram[at : at + int(starts[-1])]
             where = context[mine[starts - n]]
-            out.append((level, part, r["block"], b"", packed(total[mine]), packed(alone[mine]), packed(after[:, where].reshape(-1).astype(np.uint32)), packed(sums[where]), None))
+            back = where[_backing(total[mine], starts - n)]
+            out.append((level, part, r["block"], b"", packed(total[mine]), packed(alone[mine]), packed(lost[where]), packed(after[:, back].reshape(-1).astype(np.uint32)), packed(sums[back]), None))
             at += len(mine)
-        out.append((level, part, None, b"", b"", b"", b"", b"", [0, 0, *(int(a + b) for a, b in zip(stats, _frequencies(total)))]))
+        out.append((level, part, None, *[b""] * 6, [0, 0, *(int(a + b) for a, b in zip(stats, _frequencies(total)))]))
         many = np.flatnonzero(np.repeat(column("spread", np.uint8), all_sizes)[one][head])
         if len(many):
             keys = _key([x[head][many] for x in ph])
-            out.append((-level, part, None, packed(keys), b"", b"", packed(after[:, many].reshape(-1).astype(np.uint32)), packed(sums[many]), None))
+            out.append((-level, part, None, packed(keys), b"", b"", b"", packed(after[:, many].reshape(-1).astype(np.uint32)), packed(sums[many]), None))
         return _table(_ANSWER, out)
 
     return run
 
 
-def alphas(h_count: np.ndarray, after: np.ndarray, sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per context: the denominator of its shares and its backoff weight."""
-    lost = np.zeros(len(h_count))
-    for r in range(1, K + 1):
-        lost += (1 - d[r]) * r * after[r - 1]
-    total = np.where(lost > 0, h_count, h_count + 1)
-    left = np.where(lost > 0, lost, 1.0) / np.maximum(total, 1)
-    return total, left / np.maximum(1 - sums, 1e-300)
+def alphas(h_count: np.ndarray, lost: np.ndarray, after: np.ndarray, sums: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per context: the denominator of its shares, and its backoff weight where ``after`` and ``sums`` are given."""
+    total = np.where(lost, h_count, h_count + 1)
+    left = sum((1 - d[r]) * r * after[r - 1] for r in range(1, K + 1))
+    return total, np.where(lost, left, 1.0) / np.maximum(total, 1) / np.maximum(1 - sums, 1e-300)
+
+
+def _backing(totals: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Contexts (by their first n-grams' places) after which an unseen word is asked for: only these need their backoff weight."""
+    return np.logical_or.reduceat(totals == 0, head)
 
 
 def _evaluate(parts: int, begins: int, edge: float, shared, kind: pa.DataType):
