@@ -14,7 +14,7 @@ Texts are read once and kept as blocks of word numbers.  Each block sends the
 n-grams that it holds, with their training counts, to the partition that owns
 them, and gets totals back in the same order:
 
-1. word counts, by word hash;
+1. word counts, by word hash; the blocks are written anew with the words' numbers and totals;
 2. counts of n-grams of each further length, by their context (all words but
    the last); a context with more than ``max(HOT, tokens / 2**20)``
    occurrences is spread over several partitions by the words after it.  There
@@ -219,30 +219,42 @@ class _Grams:
         self.of, self.columns, self.total, self.alone, self.share, self.p = of, columns, total, alone, share, share
 
 
+def _numbered(parts: int, schema: pa.Schema):
+    """Blocks whose words have numbers and totals in place of hashes."""
+
+    def run(key, left, right):
+        answers, out = right.to_pylist(), []
+        for row in left.to_pylist():
+            words = unpacked(row["words"], U64)
+            number, total, alone = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+            to = (words % U64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            for a in answers:
+                b = a["part"]
+                at = order[edges[b] : edges[b + 1]]
+                number[at] = unpacked(a["numbers"], np.uint32).astype(np.int64) * parts + b
+                total[at], alone[at] = unpacked(a["counts"], np.int64), unpacked(a["alone"], bool)
+            out.append({**row, "numbers": packed(number), "totals": packed(total), "alone": packed(alone)})
+        return pa.Table.from_pylist(out, schema)
+
+    return run
+
+
 class _Block:
     """A block with the totals of its words; ``add`` forms its longer n-grams in the order in which they are sent, ``resolve`` takes their totals."""
 
     def __init__(self, row: dict, answers: list[dict], parts: int, begins: int, edge: float, unigram: Unigram):
-        words = unpacked(row["words"], U64)
         self.parts, self.edge, self.answers = parts, edge, answers
         self.tokens = unpacked(row["tokens"], np.uint32).astype(np.int32)
         self.sizes = unpacked(row["sizes"], np.uint32).astype(np.int64)
         self.held = np.frombuffer(row["held"], bool)
         self.learn = np.repeat(~self.held, self.sizes)
         self.start = np.cumsum(self.sizes) - self.sizes
-        n = self.kinds = len(words)
         # the mark before the first word has the last place
-        self.number, total, alone = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, bool)
-        self.number[n], total[n] = _BEGIN, begins
-        to = (words % U64(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[order], np.arange(parts + 1))
-        for a in answers:
-            if a["level"] == 1:
-                b = a["part"]
-                at = order[edges[b] : edges[b + 1]]
-                self.number[at] = unpacked(a["numbers"], np.uint32).astype(np.int64) * parts + b
-                total[at], alone[at] = unpacked(a["counts"], np.int64), unpacked(a["alone"], bool)
+        self.number = np.append(unpacked(row["numbers"], np.int64), _BEGIN)
+        total, alone = np.append(unpacked(row["totals"], np.int64), begins), np.append(unpacked(row["alone"], bool), False)
+        n = self.kinds = len(self.number) - 1
         self.grams = [_Grams(self.tokens, [np.arange(n + 1, dtype=np.int32)], total, alone, unigram.p(total))]
 
     def add(self) -> _Grams:
@@ -319,10 +331,9 @@ def _block(row: dict, answers: list[dict], parts: int, begins: int, edge: float,
 def _requests(parts: int, begins: int, edge: float, shared):
     """N-grams one longer than those whose totals are known, for their owners."""
 
-    def run(key, left, right):
+    def run(rows, answers):
         out = []
-        answers = right.to_pylist()
-        for row in left.to_pylist():
+        for row in rows:
             block = _block(row, answers, parts, begins, edge, shared)
             low, g = block.grams[-1], block.add()
             for b in range(parts):
@@ -408,11 +419,10 @@ def _backing(totals: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _evaluate(parts: int, begins: int, edge: float, shared, kind: pa.DataType):
-    def run(key, left, right):
+    def run(rows, answers):
         unigram = shared.value[0]
         ids, cols = [], []
-        answers = right.to_pylist()
-        for row in left.to_pylist():
+        for row in rows:
             block = _block(row, answers, parts, begins, edge, shared)
             p = block.grams[0].p[block.tokens]
             for g in block.grams[1:]:
@@ -464,16 +474,38 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, hot: int = HOT, order:
     unigram, levels = Unigram(stats[0], stats[1], stats[2:]), []
     begins = sum(r[0] for r in texts.select("held").mapInArrow(_training_texts, "n long").groupBy().sum().collect() if r[0])
     edge = max(float(hot), stats[0] / 2**20)
-    answers = words.where("block is not null")
-    at_blocks = lambda: texts.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
-    shared = spark.sparkContext.broadcast((unigram, levels))
+    plain = texts.drop("words", "counts")
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in plain.schema.fields] + [(n, pa.binary()) for n in ("numbers", "totals", "alone")]
+    numbered = _meet(texts, words.where("block is not null"), parts).applyInArrow(_numbered(parts, pa.schema(fields)), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields) + ", numbers binary, totals binary, alone binary")
+    numbered = scratch.keep(numbered)
+    scratch.drop(texts, words)
+    answers, shared = None, spark.sparkContext.broadcast((unigram, levels))
     for level in range(2, order + 1):
-        asked = at_blocks().applyInArrow(_requests(parts, begins, edge, shared), _REQUEST)
+        asked = _at_blocks(numbered, answers, parts, _requests(parts, begins, edge, shared), _REQUEST)
         found = scratch.keep(asked.repartition(parts, "part").groupBy("part").applyInArrow(_owned(level, shared), _ANSWER))
         levels = [*levels, (discounts(_stats(found)[2:]), _hot_contexts(found))]
         shared = spark.sparkContext.broadcast((unigram, levels))
-        answers = answers.unionByName(found.where("block is not null"))
-    return at_blocks().applyInArrow(_evaluate(parts, begins, edge, shared, to_arrow_type(docs.schema["doc_id"].dataType)), schema)
+        got = found.where("block is not null")
+        answers = got if answers is None else answers.unionByName(got)
+    return _at_blocks(numbered, answers, parts, _evaluate(parts, begins, edge, shared, to_arrow_type(docs.schema["doc_id"].dataType)), schema)
+
+
+def _meet(texts: DataFrame, answers: DataFrame, parts: int):
+    return texts.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block"))
+
+
+def _at_blocks(texts: DataFrame, answers: DataFrame | None, parts: int, run, schema: str) -> DataFrame:
+    """``run(rows, answers)`` for each block; without answers, no shuffle."""
+
+    def each(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from run(batch.slice(i, 1).to_pylist(), []).to_batches()
+
+    def met(key, left, right):
+        return run(left.to_pylist(), right.to_pylist())
+
+    return texts.mapInArrow(each, schema) if answers is None else _meet(texts, answers, parts).applyInArrow(met, schema)
 
 
 def _training_texts(batches):
