@@ -9,11 +9,14 @@ At each length, a window is tested by one part only: the one with the least
 hash.  Equal windows choose equal parts, so a chosen part that occurs once
 proves that its windows occur once.  This keeps about one part in
 ``length - part + 1`` words.  Hashes of parts only let candidates through;
-the last step compares whole windows by 128-bit hashes.
+the last step compares whole windows by 128-bit hashes.  It counts a window
+once in each block of segments (1 MB of text), so a frequent window has as
+many rows as there are blocks, however often it occurs; the segments of a
+block then look up which of their windows repeat.
 
-No table that grows is broadcast: the
-planner, which goes by the files and leaves out how many rows ``explode``
-makes and how long lists are, takes 6.8 million parts for 2.3 MB.
+No table here is broadcast: the planner, which goes by the files and leaves
+out how many rows ``explode`` makes and how long lists are, takes 6.8 million
+parts for 2.3 MB.
 
 Exact copies of a text are recognised by a 128-bit digest first and take part
 as one text that is known to repeat.
@@ -29,7 +32,8 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quillstone.llm.arrowtext import U64, Words, pair, slices
 from quillstone.storage import Scratch
@@ -124,10 +128,11 @@ _EMPTY = hashlib.sha256(b"").digest()
 
 
 def _cut(window: int, part: int, base: bool):
-    """Rows with the repeated parts ``alive`` to the segments whose windows all chose one of them."""
+    """Rows with the repeated parts ``alive`` to the segments whose windows all chose one of them, in numbered blocks."""
 
     def run(batches):
-        for batch in slices(batches, "text", 1_000_000):
+        first = TaskContext.get().partitionId() << 33
+        for block, batch in enumerate(slices(batches, "text", 1_000_000), first):
             texts = batch.column(batch.schema.get_field_index("text"))
             words = Words(texts)
             valid, value, _ = chosen(words.hashes(_SEED), words.first, part, window)
@@ -143,7 +148,7 @@ def _cut(window: int, part: int, base: bool):
                 for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
                     lo, hi = int(words.start[a + i]), int(words.end[a + j - 1 + window - 1])
                     out.append((sid, begin + i, raw[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], ["sid", "start", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string()), pa.array([block] * len(out), pa.int64())], ["sid", "start", "text", "block"])
 
     return run
 
@@ -162,38 +167,82 @@ def _parts(window: int, part: int):
     return run
 
 
+def _hashed(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words at which a window starts, and its 128-bit hash in two halves."""
+    room = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(len(words))
+    at = np.flatnonzero(room >= window)
+    if not len(at):
+        return at, np.zeros(0, U64), np.zeros(0, U64)
+    return at, _runs(words.hashes(_SEED), window)[at], _runs(words.hashes(_SEED_2), window)[at]
+
+
 def _windows(window: int):
+    """Segments to their windows, with the number of times in the block; a window may come in several rows of a block."""
+
     def run(batches):
         for batch in slices(batches, "text", 1_000_000):
             words = Words(batch.column(batch.schema.get_field_index("text")))
-            room = np.repeat(words.first[1:], np.diff(words.first)) - np.arange(len(words))
-            at = np.flatnonzero(room >= window)
+            at, a, b = _hashed(words, window)
             if not len(at):
                 continue
-            a, b = _runs(words.hashes(_SEED), window)[at], _runs(words.hashes(_SEED_2), window)[at]
-            text = np.searchsorted(words.first, at, "right") - 1
-            ids = batch.column(batch.schema.get_field_index("sid")).to_numpy()[text]
-            starts = batch.column(batch.schema.get_field_index("start")).to_numpy()[text] + at - words.first[text]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids), pa.array(starts)], ["a", "b", "sid", "start"])
+            block = batch.column(batch.schema.get_field_index("block")).to_numpy()[np.searchsorted(words.first, at, "right") - 1]
+            order = np.argsort(a, kind="stable")
+            a, b, block = a[order], b[order], block[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (block[1:] != block[:-1])
+            where = np.flatnonzero(new)
+            n = np.diff(np.append(where, len(a)))
+            yield pa.RecordBatch.from_arrays([pa.array(a[where].view(np.int64)), pa.array(b[where].view(np.int64)), pa.array(block[where]), pa.array(n)], ["a", "b", "block", "n"])
+
+    return run
+
+
+def _among(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether each pair (a[i], b[i]) is among the pairs (x, y)."""
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    low, high = np.searchsorted(x, a), np.searchsorted(x, a, "right")
+    found = np.zeros(len(a), bool)
+    for k in range(int((high - low).max(initial=0))):
+        some = np.flatnonzero(low + k < high)
+        found[some] |= y[low[some] + k] == b[some]
+    return found
+
+
+def _covered(window: int):
+    """The segments of a block and its repeated windows to the stretches of words (``stop`` excluded) that runs of such windows cover."""
+
+    def run(rows: pa.Table, again: pa.Table) -> pa.Table:
+        words = Words(rows["text"].combine_chunks() if again.num_rows else pa.array([""] * rows.num_rows, pa.string()))
+        at, a, b = _hashed(words, window)
+        hit = np.zeros(len(words) + 2, bool)
+        hit[at + 1] = _among(a, b, again["a"].to_numpy().view(U64), again["b"].to_numpy().view(U64))
+        # a run ends with its text
+        edge = np.zeros(len(words) + 1, bool)
+        edge[words.first] = True
+        begin = np.flatnonzero(hit[1:-1] & (~hit[:-2] | edge[:-1]))
+        end = np.flatnonzero(hit[1:-1] & (~hit[2:] | edge[1:]))
+        text = np.searchsorted(words.first, begin, "right") - 1
+        shift = rows["start"].to_numpy()[text] - words.first[text]
+        return pa.table({"sid": rows["sid"].to_numpy()[text], "start": begin + shift, "stop": end + shift + window})
 
     return run
 
 
-def _strip(window: int):
-    """Texts with the starts of repeated windows to what is left of them."""
+def _strip():
+    """Texts with the stretches that repeated windows cover to what is left of them."""
 
     def run(batches):
         for batch in slices(batches, "text", 2_000_000):
             texts = batch.column(batch.schema.get_field_index("text"))
             words = Words(texts)
-            starts = batch.column(batch.schema.get_field_index("starts"))
+            starts, stops = (batch.column(batch.schema.get_field_index(x)) for x in ("starts", "stops"))
             raw, removed, digest, left = words.data.tobytes(), [], [], []
             for k in range(batch.num_rows):
                 a, b = int(words.first[k]), int(words.first[k + 1])
                 cover = np.zeros(b - a + 1, np.int32)
-                at = np.asarray(starts[k].values)
-                cover[at] += 1
-                np.subtract.at(cover, at + window, 1)
+                np.add.at(cover, np.asarray(starts[k].values), 1)
+                np.subtract.at(cover, np.asarray(stops[k].values), 1)
                 keep = np.flatnonzero(np.cumsum(cover[:-1]) == 0) + a
                 removed.append(b - a - len(keep))
                 lo, hi = words.start[keep].tolist(), words.end[keep].tolist()
@@ -227,18 +276,6 @@ def _alive(parts: DataFrame, key: list[str]) -> DataFrame:
     return _join(parts, found, "part").groupBy(*key).agg(F.collect_set("part").alias("alive"))
 
 
-#: A key with more than this share of all rows meets its rows by broadcast; there are fewer such keys than its inverse.
-HOT_SHARE = 1 / 512
-
-
-def _with_keys(rows: DataFrame, keys: DataFrame, key: list[str], rows_in_all: int) -> DataFrame:
-    """The rows whose key is among ``keys`` (key columns and its number of rows ``n``); rows of frequent keys stay where they are."""
-    edge = rows_in_all * HOT_SHARE
-    hot = F.broadcast(keys.where(F.col("n") > edge).select(*key))  # at most 1 / HOT_SHARE keys
-    rest = _join(rows.join(hot, key, "left_anti"), keys.where(F.col("n") <= edge).select(*key), key)
-    return rows.join(hot, key, "left_semi").select(*rows.columns).unionByName(rest.select(*rows.columns))
-
-
 def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """``(all texts, changed texts)``.
 
@@ -260,22 +297,23 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     wanted = _join(texts.withColumn("sid", F.xxhash64("digest128")), alive, "sid").select("rid", "digest128", "copies", "alive")
     # rows of one id and text are one here
     base = scratch.keep(_join(keyed.select("rid", "text", "digest128"), wanted, ["rid", "digest128"]).withColumn("sid", F.monotonically_increasing_id()))
-    seg = scratch.keep(base.select("sid", F.lit(0).cast("long").alias("start"), "text", "alive").mapInArrow(_cut(window, part, True), "sid long, start long, text string"))
+    seg = scratch.keep(base.select("sid", F.lit(0).cast("long").alias("start"), "text", "alive").mapInArrow(_cut(window, part, True), "sid long, start long, text string, block long"))
     while part * 2 <= window:
         part *= 2
         found = seg.mapInArrow(_parts(window, part), "sid long, start long, part long, twice boolean")
         # segments of one text may share words at their ends, so a part in two of them only may pass
         again = found.groupBy("part").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("part")
         alive = _join(found, again, "part").groupBy("sid", "start").agg(F.collect_set("part").alias("alive"))
-        new = scratch.keep(_join(seg, alive, ["sid", "start"]).mapInArrow(_cut(window, part, False), "sid long, start long, text string"))
+        new = scratch.keep(_join(seg, alive, ["sid", "start"]).mapInArrow(_cut(window, part, False), "sid long, start long, text string, block long"))
         scratch.drop(seg)
         seg = new
-    every = scratch.keep(seg.mapInArrow(_windows(window), "a long, b long, sid long, start long"))
-    twice = scratch.keep(every.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"))
-    starts = _with_keys(every, twice, ["a", "b"], every.count()).groupBy("sid").agg(F.collect_list("start").alias("starts"))
+    every = seg.mapInArrow(_windows(window), "a long, b long, block long, n long")
+    again = every.withColumn("n", F.sum("n").over(Window.partitionBy("a", "b"))).where("n > 1").select("block", "a", "b")
+    gone = seg.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_covered(window), "sid long, start long, stop long")
+    gone = gone.groupBy("sid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     single = base.where("copies = 1").select("sid", "digest128", "text")
-    changed = scratch.keep(_join(single, starts, "sid").mapInArrow(_strip(window), "digest128 binary, n_removed long, kept_digest binary, kept_text string"))
-    scratch.drop(every, seg, base)
+    changed = scratch.keep(_join(single, gone, "sid").mapInArrow(_strip(), "digest128 binary, n_removed long, kept_digest binary, kept_text string"))
+    scratch.drop(seg, base)
     rows = _join(scan.select("doc_id", "digest128", "rid", "n_words", "digest"), texts.where("copies > 1").select("digest128", "copies"), "digest128", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return rows, changed
 
