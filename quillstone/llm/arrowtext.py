@@ -17,6 +17,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text that are hashed at a time; hashes do not depend on it.
 CHUNK = 4_000_000
+#: Bytes of text that the pipeline's operators take on at a time: their arrays come to 50 to 100 bytes for each.
+SLICE = 500_000
+#: Rows of whole texts or sets in an Arrow batch, where an operator writes it: a batch is bounded by rows only.
+ROWS = 2_000
 
 
 def slices(batches, column: str, max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.llm.arrowtext import slices
+from quillstone.llm.arrowtext import SLICE, slices
 
 DIMENSIONS = 1024
 #: Training texts that are used of each language, about: a hash of the id picks them.
@@ -112,7 +112,7 @@ def profiles(train: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[s
     picked = train.where(draw < F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)]), F.col("lang"))).select("text", "lang")
 
     def run(batches):
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             found, has = vectors(batch.column(0).to_pylist())
             names = np.array(batch.column(1).to_pylist(), object)
             unit = _unit(found)
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray], keep: bool
     def run(batches):
         names, protos = shared.value
         labels = np.array([*names, UNKNOWN], object)
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             found, has = vectors(batch.column(batch.schema.get_field_index("text")).to_pylist())
             if len(names):
                 cosine = _unit(found) @ protos.T

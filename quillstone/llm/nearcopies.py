@@ -30,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillstone.llm.arrowtext import U64, Words, mix, slices
+from quillstone.llm.arrowtext import ROWS, SLICE, U64, Words, mix, slices
 from quillstone.llm.simhash import _signed as signed_mask, chosen, covering_masks
 from quillstone.operators.components import connected_components
-from quillstone.storage import Scratch
+from quillstone.storage import Scratch, batch_rows
 
 SEEDS, RADIUS = 8, 4
 #: Turns of comparing each open set with one other before all open pairs are; groups do not depend on it.
@@ -103,7 +103,7 @@ def _signatures(docs: DataFrame, n: int, seeds: int) -> DataFrame:
     """``doc_id, quillstone_mark, key`` (of the set)``, size, fps``."""
 
     def run(batches):
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             values, first = shingles(batch.column(1), n)
             sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
             sizes = np.array([len(x) for x in sets], np.int32)
@@ -120,7 +120,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """``no, set`` (sorted hashes) of ``no, text``."""
 
     def run(batches):
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             values, first = shingles(batch.column(1), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], ["no", "set"])
 
@@ -201,7 +201,8 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     spark = docs.sparkSession
     scratch = Scratch(spark, "nearcopies")
     marked = docs.withColumn("quillstone_mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    signed = scratch.keep(_signatures(marked, shingle, seeds))
+    with batch_rows(spark, ROWS):
+        signed = scratch.keep(_signatures(marked, shingle, seeds))
     # numbers are fixed once the table is written
     distinct = scratch.keep(signed.groupBy("key", "size", "fps").agg(F.min(F.struct("doc_id", "quillstone_mark")).alias("low")).withColumn("no", F.monotonically_increasing_id()).drop("key"))
     scratch.drop(signed)
@@ -215,9 +216,12 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     needed = distinct.join(nodes, "no", "left_semi").select("no", F.col("low.doc_id").alias("quillstone_id"), F.col("low.quillstone_mark").alias("quillstone_mark"))
     plain = marked.select("doc_id", "text", "quillstone_mark")
     texts = plain.join(needed, plain["doc_id"].eqNullSafe(needed["quillstone_id"]) & (plain["quillstone_mark"] == needed["quillstone_mark"])).select("no", "text")
-    sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["no"]))
-    edges = spark.createDataFrame([], "u long, v long")
-    found = spark.createDataFrame([], "node long, component long")
+    with batch_rows(spark, ROWS):
+        sets = scratch.keep(_sets(texts, shingle).dropDuplicates(["no"]))
+    # empty tables of the JVM: those of Python rows start Python workers of another kind, which stay
+    none = spark.range(0)
+    edges = none.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    found = none.select(F.col("id").alias("node"), F.col("id").alias("component"))
     for turn in range(TURNS + 1):
         named = nodes.join(found.withColumnRenamed("node", "no"), "no", "left").select("no", F.size("hs").alias("degree"), F.coalesce("component", "no").alias("label"), "hs")
         rows = named.select("no", "degree", "label", F.explode("hs").alias("h"))
@@ -240,7 +244,8 @@ def keep_dissimilar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
             ordered = rows.select("h", rank.alias("rank"), "no", "label").repartition("h").sortWithinPartitions("h", F.desc("rank"), "no")
             met = ordered.mapInArrow(_with_first, "no long, rank long, v long")
             pairs = met.groupBy("no").agg(F.max(F.struct("rank", "v")).alias("c")).select(F.col("no").alias("u"), "c.v")
-        compared = scratch.keep(_compared(pairs, sets, similarity))
+        with batch_rows(spark, ROWS):
+            compared = scratch.keep(_compared(pairs, sets, similarity))
         edges = edges.unionByName(compared.where("good").select("u", "v"))
         found = scratch.keep(connected_components(edges))
         if last:

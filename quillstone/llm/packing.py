@@ -31,9 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillstone.llm.arrowtext import slices
+from quillstone.llm.arrowtext import ROWS, SLICE, slices
 from quillstone.llm.bpe import byte_letters
-from quillstone.storage import Scratch
+from quillstone.storage import Scratch, batch_rows
 
 CAPACITY = 1024
 END_ID = 2
@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """``doc_id, piece, start, length, ids_crc32``: documents with their end token, cut where longer than a sequence; the first piece takes the odd length."""
 
     def run(batches):
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE):
             tok, rows = tokenizer(path), []
             end = np.array([end_id], "<u4").tobytes()
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -275,7 +275,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     # a file's rows get ranks within (part, length); parts and lengths are few, so the sums below are small
-    cut = scratch.keep(pieces(docs, path, capacity, end_id))
+    with batch_rows(spark, ROWS):
+        cut = scratch.keep(pieces(docs, path, capacity, end_id))
     numbered = cut.withColumn("slot", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(_slots(spark))).cast("int"))
     sums = numbered.groupBy("length", "slot").agg(F.count("*").alias("n"))
     by_length = {r[0]: r[1] for r in sums.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quillstone.llm.arrowtext import U64, Words, mix, pair, slices
+from quillstone.llm.arrowtext import SLICE, U64, Words, mix, pair, slices
 from quillstone.llm.language import held_out
 
 BITS = 18
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 3, bits: int =
     picked = labelled.where(draw < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30)))).select(draw.alias("draw"), "label", "text")
 
     def features(batches):
-        for batch in slices(batches, "text", 1_000_000):
+        for batch in slices(batches, "text", SLICE):
             offsets, h, x = _features(*ngrams(batch.column(2), bits), batch.num_rows)
             lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(v)) for v in (h.astype(np.int32), x)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int32()), *lists], ["draw", "label", "at", "share"])
@@ -144,7 +144,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: bool = False, bits: int =
 
     def run(batches):
         w = shared.value
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE):
             hashes, owners = ngrams(batch.column(batch.schema.get_field_index("text")), bits)
             n = batch.num_rows
             size = np.maximum(np.bincount(owners, minlength=n), 1)

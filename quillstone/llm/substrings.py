@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quillstone.llm.arrowtext import U64, Words, pair, slices
-from quillstone.storage import Scratch
+from quillstone.llm.arrowtext import ROWS, SLICE, U64, Words, pair, slices
+from quillstone.storage import Scratch, batch_rows
 
 WINDOW = 35
 FIRST = 8
@@ -108,7 +108,7 @@ def _lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
 
 def _scan(window: int, part: int):
     def run(batches):
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE):
             texts = batch.column(batch.schema.get_field_index("text"))
             words = Words(texts)
             _, _, picked = chosen(words.hashes(_SEED), words.first, part, window)
@@ -155,7 +155,7 @@ def _cut(window: int, part: int, base: bool):
 
 def _parts(window: int, part: int):
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             words = Words(batch.column(batch.schema.get_field_index("text")))
             _, _, picked = chosen(words.hashes(_SEED), words.first, part, window)
             offsets, hashes, twice = _per_text(picked, words.first)
@@ -233,7 +233,7 @@ def _strip():
     """Texts with the stretches that repeated windows cover to what is left of them."""
 
     def run(batches):
-        for batch in slices(batches, "text", 2_000_000):
+        for batch in slices(batches, "text", SLICE):
             texts = batch.column(batch.schema.get_field_index("text"))
             words = Words(texts)
             starts, stops = (batch.column(batch.schema.get_field_index(x)) for x in ("starts", "stops"))
@@ -289,7 +289,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     keyed = _with_digest(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     part = min(FIRST, window)
-    scan = scratch.keep(keyed.mapInArrow(_scan(window, part), f"doc_id {kind}, digest128 binary, rid long, n_words long, digest binary, parts array<long>, twice array<boolean>"))
+    with batch_rows(spark, ROWS):
+        scan = scratch.keep(keyed.mapInArrow(_scan(window, part), f"doc_id {kind}, digest128 binary, rid long, n_words long, digest binary, parts array<long>, twice array<boolean>"))
     tid = F.xxhash64("digest128").alias("sid")  # may only let candidates through
     parts = scan.select(tid, F.explode(F.arrays_zip("parts", "twice")).alias("x")).select("sid", F.col("x.parts").alias("part"), F.col("x.twice").alias("twice"))
     alive = _alive(parts, ["sid"])
@@ -312,7 +313,8 @@ def repeated(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFram
     gone = seg.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_covered(window), "sid long, start long, stop long")
     gone = gone.groupBy("sid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     single = base.where("copies = 1").select("sid", "digest128", "text")
-    changed = scratch.keep(_join(single, gone, "sid").mapInArrow(_strip(), "digest128 binary, n_removed long, kept_digest binary, kept_text string"))
+    with batch_rows(spark, ROWS):
+        changed = scratch.keep(_join(single, gone, "sid").mapInArrow(_strip(), "digest128 binary, n_removed long, kept_digest binary, kept_text string"))
     scratch.drop(seg, base)
     rows = _join(scan.select("doc_id", "digest128", "rid", "n_words", "digest"), texts.where("copies > 1").select("digest128", "copies"), "digest128", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     return rows, changed

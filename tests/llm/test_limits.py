@@ -3,11 +3,16 @@
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.llm import language, nearcopies, quality, substrings
+from quillstone.storage import Scratch, batch_rows
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -203,3 +208,37 @@ def test_words_are_hashed_alike_in_pieces(monkeypatch):
     monkeypatch.setattr(arrowtext, "CHUNK", 11)
     monkeypatch.setattr(simhash, "CHUNK", 7)
     assert (arrowtext.Words(texts).hashes(7) == whole).all() and simhash.fingerprint(texts[3].as_py()) == print_
+
+
+def test_large_batches_are_worked_in_small_parts(spark, monkeypatch):
+    taken = {}
+    frame = docs(spark, ["a"]).withColumn("quillstone_mark", F.lit(0).cast("long"))
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: taken.setdefault(schema, run) and self)
+    language.identify(frame, (["en"], np.ones((1, language.DIMENSIONS), np.float32)))
+    quality.score(frame, np.zeros((1 << quality.BITS) + 1))
+    nearcopies._signatures(frame, 5, nearcopies.SEEDS)
+    runs = [*taken.values(), substrings._scan(35, 8)]
+    texts = [prose(i, 1000, 5000) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts), pa.array([0] * 1000)], ["doc_id", "text", "quillstone_mark"])
+    most = []
+    for run in runs:
+        tracemalloc.start()
+        assert sum(got.num_rows for got in run([batch])) == 1000
+        most.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    assert len(most) == 4 and max(most) < 80, most
+
+
+def test_written_tables_bound_the_rows_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(given):
+        for batch in given:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    found = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long")
+    for rows, most in [(600, 600), (20_000, 5000)]:
+        with batch_rows(spark, rows):
+            got = [r.n for r in Scratch(spark, "test").keep(found).collect()]
+        assert sum(got) == 5000 and max(got) == most and spark.conf.get(key) == before

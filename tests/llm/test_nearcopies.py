@@ -88,3 +88,13 @@ def test_recall_of_planted_pairs(spark):
     gone = 600 - nearcopies.keep_dissimilar(frame).count()
     assert near > 200 and 0.93 * near <= gone <= near
     assert 0.6 < nearcopies.recall(0.8) < nearcopies.recall(0.9) < nearcopies.recall(0.95) <= 1
+
+
+def test_no_table_of_python_rows_is_made(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(900)}" for _ in range(120)]
+    texts = [" ".join(words), " ".join(words[:-1]), "a b c"]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    # such a table starts Python workers of its own on the executors
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *given, **more: pytest.fail("rows of Python"))
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == {0, 2}
