@@ -1,8 +1,11 @@
 import json
 import random
+import re
 import struct
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +101,30 @@ def test_split_components(spark):
     assert D.split_components(many.where("false"), {"x": 1.0}).collect() == []
 
 
+def test_offset_map_in_parts(spark):
+    texts = ["Ett ord  och\r\n\r\nett \t\n till\n" * 300, None, "", " ", "x\u00a0y\n\n\n📄 z"] * 60
+    tracemalloc.start()
+    sizes, got = [], []
+    for part in X.offset_maps([pa.array(texts)], 20_000):
+        sizes.append(len(part))
+        got += [(len(x["text"]), len(x["offsets"]), x["offsets"][-1]) for x in part.slice(0, 5).to_pylist()]
+    assert sum(sizes) == 300 and max(sizes) <= 15 and tracemalloc.get_traced_memory()[1] < 10_000_000
+    tracemalloc.stop()
+    assert all(n == m - 1 for n, m, _ in got)
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").coalesce(1).select("doc_id", X.offset_map("text").alias("m")).collect()
+
+    def slow(text):
+        out, at = [], []
+        for m in re.finditer(r"\s+|\S", text):
+            new = m[0] if not m[0].isspace() else "\n\n" if len(re.findall(r"\r\n|\r|\n", m[0])) > 1 else " "
+            out.append(new)
+            at += [m.start()] * len(new)
+        return "".join(out), [*at, len(text)]
+
+    want = {x: slow(x or "") for x in texts[:5]}
+    assert len(rows) == 300 and all((r.m.text, r.m.offsets) == want[texts[r.doc_id]] for r in rows)
+
+
 def test_structure(spark):
     md = "## [1 kap.](#K1)\n\n**1 §** Ett.\n\n**2 §** Två.\n\n## [2 kap.](#K2)\n\n**1 §** Tre.\n\nMer.\n\n### R\n\n**1 a §** Fyra."
     assert X.slice_provision(md, "K2P1") == "**1 §** Tre.\n\nMer." and X.slice_provision(md, "K2P1a") == "**1 a §** Fyra." and X.slice_provision(md, "P2") == "**2 §** Två." and X.slice_provision(md, "K9P1") is None
