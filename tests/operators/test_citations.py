@@ -1,6 +1,10 @@
+import os
+import random
+
 import pytest
 
 from quillstone.operators.citations import Scanner, State, block_occurrences, extract
+from quillstone.plans import documents
 
 STATUTES = [
     ("1§ avtalslagen", ["1915:218#P1"]),
@@ -82,3 +86,23 @@ def test_tables(spark):
     blocks = spark.createDataFrame([(1, 0, "a", "se 2"), (1, 1, "b", "§ avtalslagen"), (2, 0, "c", None)], "doc_id long, ord int, block_id string, text string")
     got = sorted((r.block_id, r.start, r.end, r.text, r.uri) for r in block_occurrences(blocks).collect())
     assert got == [("a", 3, 4, "2", "1915:218#P2"), ("b", 0, 13, "§ avtalslagen", "1915:218#P2")]
+
+
+def test_patterns_are_tried_where_they_can_match():
+    frag = ["3 kap. 2 § avtalslagen", "2 och 3 §§ BrB", "AVTALSLAGEN", "köplagen (1990:931)", "lagen (SFS 1998:112)", "Köplagen om köp av saker, nedan KKL", "5 § KKL", "NJA 2013 s. 502 p. 3", "HFD 2012 ref. 3", "prop. 1999/2000:12 s. 4 ff och 9",
+            "mål C-12/03, p. 3 och 5", "Case 26/62", "artikel 6.1 i dataskyddsförordningen", "artiklarna 3 och 4 i direktiv 95/46/EG", "GDPR artikel 5", "Rådets beslut 2002/584", "(EU) 2019/1150", "SFS 1999:12", "JO 2001/02 s. 4", "ARN 2001-123",
+            "FFFS 2010:1", "EDPB guidelines 3/2020", "WP 29", "Skatteverkets ställningstagande dnr 131 123/12", "Chapter 3, Section 4", "köplagen, ch. 3 s. 4", "ſkatt", "KÖPLAGEN", "İ", "\u212aonkurslagen", "\n", ". ", "(", ") ", "i "]
+    free, draw = Scanner(), random.Random(3)
+    free._needs = [((), None, False)] * len(free.patterns)
+    scanner = Scanner()
+    for _ in range(1500):
+        text = " ".join(draw.choice(frag) for _ in range(draw.randint(1, 8)))
+        assert scanner.parse(text) == free.parse(text), text
+    text = "Enligt 1 kap. 1 § brottsbalken gäller detta. Jfr NJA 1990 s. 1 och prop. 2000/01:1 s. 1."
+    assert len(list(free._matches(text))) == 16 and {k for _, k, _ in scanner._matches(text)} == {"case", "work", "statute"} and len(list(scanner._matches(text))) == 5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_orders_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(documents, "ORDERS", 1000)
+    assert documents.extract_citations(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 15
