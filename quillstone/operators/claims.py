@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quillstone.functions import numbers as N, text as T
-from quillstone.operators import policy as P, retrieval as R
+from quillstone.operators import citations as C, policy as P, retrieval as R
 
 _ABBREVIATION = re.compile(r"(?i)\b(?:" + "|".join(re.escape(a) for a in sorted(T.ABBREVIATIONS, key=len, reverse=True)) + ")$")
 
@@ -37,19 +40,27 @@ _SIGNALS = re.compile(r"(?i)(?<!\w)(?:se|jfr|även|bl|a|t|ex|och)(?!\w)|(?:detta
 _FRAMES = re.compile(r"(?i)^(?:(?:av|enligt)\s+\S+\s+)?(?:det\s+)?(?:framgår|följer|gäller|anges)\s+att\s+|^(?:högsta domstolen|hd|hfd|domstolen)\s+(?:fann|ansåg|uttalade|konstaterade)\s+att\s+")
 
 
-def claim_around(text: str, start: int, end: int, cited: list[tuple[int, int]]) -> tuple[int, int] | None:
-    """The span of the claim that a citation supports: its sentence; the one before if only reference words are left; and one more where that leans back on an uncited one in the same paragraph."""
-    spans = sentence_spans(text)
-    i = next((k for k, (a, b) in enumerate(spans) if a <= start < b), None)
-    if i is None:
-        return None
-    def bare(k: int) -> bool:
-        a, b = spans[k]
-        left = "".join(c for p, c in enumerate(text[a:b], a) if not any(s <= p < e for s, e in cited))
-        return not re.sub(r"[\W_]", "", _SIGNALS.sub("", left))
+def _bare(text: str, a: int, b: int, cited: list[tuple[int, int]]) -> bool:
+    """Nothing but reference words is left of ``text[a:b]`` without its citations."""
+    left, at = [], a
+    for s, e in sorted(cited):
+        if s < b and e > at:
+            left.append(text[at : max(at, s)])
+            at = min(e, b)
+    return not re.sub(r"[\W_]", "", _SIGNALS.sub("", "".join([*left, text[at:b]])))
+
 
+def claim_around(text: str, start: int, end: int, cited: list[tuple[int, int]], spans: list[tuple[int, int]] | None = None) -> tuple[int, int] | None:
+    """The span of the claim that a citation supports: its sentence; the one before if only reference words are left; and one more where that leans back on an uncited one in the same paragraph.
+
+    ``spans``: the sentences of the text, where they are known.
+    """
+    spans = sentence_spans(text) if spans is None else spans
+    i = bisect.bisect_right(spans, (start, float("inf"))) - 1
+    if i < 0 or start >= spans[i][1]:
+        return None
     last = i
-    if bare(i) and i and "\n\n" not in text[spans[i - 1][0] : spans[i][0]]:
+    if i and "\n\n" not in text[spans[i - 1][0] : spans[i][0]] and _bare(text, *spans[i], cited):
         i -= 1
     begin = spans[i][0]
     sentence = text[begin : spans[last][1]].strip()
@@ -69,23 +80,47 @@ def hypothesis(claim: str, citations: list[str]) -> str:
     return _FRAMES.sub("", claim).strip(" ,;") or claim.strip()
 
 
+def _claims_of(text: str, refs: list[tuple[int, int, str, str]]) -> Iterator[tuple]:
+    """``start, end, uri, claim, hypothesis`` for each ``(start, end, cited text, uri)``."""
+    cited, spans, known = [r[:2] for r in refs], sentence_spans(text), {}
+    for start, end, _, uri in refs:
+        span = claim_around(text, start, end, cited, spans)
+        if span:
+            if span not in known:
+                claim = text[slice(*span)].strip()
+                known[span] = claim, hypothesis(claim, [r[2] for r in refs])
+            yield *span, uri, *known[span]
+
+
+_CLAIM = {"start": pa.int32(), "end": pa.int32(), "uri": pa.string(), "claim": pa.string(), "hypothesis": pa.string()}
+
+
+def _in_python(docs: DataFrame, refs_of) -> DataFrame:
+    """The claims of ``doc_id, text, ...``; ``refs_of(text, rest)`` gives the citations of a text."""
+
+    def run(batches):
+        for batch in batches:
+            ids, rows, where = batch.column(0), [[] for _ in _CLAIM], []
+            for i, values in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]))):
+                for row in _claims_of(values[0], refs_of(*values)):
+                    where.append(i)
+                    for column, x in zip(rows, row):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(where, pa.int32())), *(pa.array(c, t) for c, t in zip(rows, _CLAIM.values()))], ["doc_id", *_CLAIM])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, start int, end int, uri string, claim string, hypothesis string")
+
+
 def claims(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, uri, claim, hypothesis`` for each citation of ``doc_id, text, refs``."""
+    return _in_python(docs.select("doc_id", "text", "refs"), lambda text, refs: [(r["start"], r["end"], r["text"], r["uri"]) for r in refs])
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for doc, text, refs in zip(f["doc_id"], f["text"], f["refs"]):
-                cited = [(r["start"], r["end"]) for r in refs]
-                for r in refs:
-                    span = claim_around(text, r["start"], r["end"], cited)
-                    if span:
-                        claim = text[slice(*span)].strip()
-                        rows.append((doc, *span, r["uri"], claim, hypothesis(claim, [x["text"] for x in refs])))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "uri", "claim", "hypothesis"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "refs").mapInPandas(run, f"doc_id {kind}, start int, end int, uri string, claim string, hypothesis string")
+def cited_claims(docs: DataFrame, scanner: C.Scanner | None = None) -> DataFrame:
+    """The claims around the citations of ``doc_id, text``, which are found on the way: no text is joined or sent twice."""
+    scanner = scanner or C.Scanner()
+    return _in_python(C.hopeful(docs).select("doc_id", "text"), lambda text: [(r.start, r.end, text[r.start : r.end], r.uri) for r in scanner.parse(text)])
 
 
 def usable_sources(sources: Column) -> Column:

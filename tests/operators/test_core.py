@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.operators import calibration as C, claims as K, components as G, dataset as D, families as M, lookup as L, policy as P, retrieval as R, spans as S, structure as X
+from quillstone.operators import calibration as C, citations as N, claims as K, components as G, dataset as D, families as M, lookup as L, policy as P, retrieval as R, spans as S, structure as X
 
 
 def test_components(spark):
@@ -125,6 +125,15 @@ def test_offset_map_in_parts(spark):
     assert len(rows) == 300 and all((r.m.text, r.m.offsets) == want[texts[r.doc_id]] for r in rows)
 
 
+def test_cited_claims_in_one_pass(spark):
+    texts = ["Köparen ansvarar. Det gäller även här (se 1 § avtalslagen).", "Inget här.", None, "Säljaren svarar (NJA 2013 s. 502). (Jfr prop. 1999/2000:12 s. 4.)\n\nDetta gäller enligt 3 och 4 §§ köplagen, t.ex. när varan saknas."]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = K.cited_claims(docs)
+    want = K.claims(docs.join(N.extract(docs), "doc_id"))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and got.schema == want.schema
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 6
+
+
 def test_structure(spark):
     md = "## [1 kap.](#K1)\n\n**1 §** Ett.\n\n**2 §** Två.\n\n## [2 kap.](#K2)\n\n**1 §** Tre.\n\nMer.\n\n### R\n\n**1 a §** Fyra."
     assert X.slice_provision(md, "K2P1") == "**1 §** Tre.\n\nMer." and X.slice_provision(md, "K2P1a") == "**1 a §** Fyra." and X.slice_provision(md, "P2") == "**2 §** Två." and X.slice_provision(md, "K9P1") is None
