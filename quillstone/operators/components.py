@@ -51,3 +51,24 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     own = given.where("u = v").select(F.col("u").alias("node")).distinct().join(now.select(F.col("u").alias("node")).unionByName(roots.select("node")), "node", "left_anti")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).unionByName(own.select("node", F.col("node").alias("component"))).distinct()
+
+
+def sharing_components(pairs: DataFrame) -> DataFrame:
+    """``(node, component)`` of the nodes ``u`` of ``u, p``; nodes that share a ``p`` are linked, and component is the smallest node.
+
+    Each ``p`` is a star around its smallest node, and each node takes the
+    least of its stars' centres for its label.  Only labels that meet other
+    centres are left to contract; where there are none, the labels are the
+    components.
+    """
+    scratch = Scratch(pairs.sparkSession, "sharing")
+    pairs = pairs.where("u is not null and p is not null")
+    met = scratch.keep(pairs.join(pairs.groupBy("p").agg(F.min("u").alias("m")), "p").select("u", "m"))
+    labels = scratch.keep(met.groupBy("u").agg(F.min("m").alias("label"), F.max("m").alias("most")))
+    torn = labels.where("label <> most")
+    if torn.isEmpty():
+        return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
+    links = met.join(torn.select("u", "label"), "u").where("label <> m").select(F.col("label").alias("u"), F.col("m").alias("v")).distinct()
+    found = connected_components(links).withColumnRenamed("node", "label")
+    scratch.drop(met)
+    return labels.select("u", "label").join(found, "label", "left").select(F.col("u").alias("node"), F.coalesce("component", "label").alias("component"))

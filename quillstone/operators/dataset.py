@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from quillstone.functions import text as T
 from quillstone.functions.numbers import hash_share
-from quillstone.operators.components import connected_components
+from quillstone.operators.components import connected_components, sharing_components
 from quillstone.storage import Scratch
 
 # The four labels, and the longest pair.
@@ -75,12 +76,28 @@ def hash_partition(key: Column, ratios: dict[str, float], salt: str) -> Column:
     return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
 
 
+def digits_code(number: Column) -> Column:
+    """Codes of whole numbers from 0 to 10^17 - 1, in the order of their digits as text."""
+    text = number.cast("string")
+    return F.shiftleft(F.rpad(text, 17, "0").cast("long"), 5).bitwiseOR(F.length(text).cast("long"))
+
+
+def code_digits(code: Column) -> Column:
+    return F.substring(F.lpad(F.shiftright(code, 5).cast("string"), 17, "0"), F.lit(1), code.bitwiseAND(31).cast("int"))
+
+
 def component_of(edges: DataFrame, left: str, right: str, strict: bool = False) -> DataFrame:
     """``left, component`` for each left node of a bipartite table; ``strict`` puts both sides in one namespace."""
     a, b = F.col(left).cast("string"), F.col(right).cast("string")
-    named = edges.select((a if strict else F.concat(F.lit("doc:"), a)).alias("u"), (b if strict else F.concat(F.lit("src:"), b)).alias("v"))
-    found = connected_components(named)
-    return found if strict else found.where(F.col("node").startswith("doc:")).select(F.expr("substring(node, 5)").alias(left), "component")
+    if strict:
+        return connected_components(edges.select(a.alias("u"), b.alias("v")))
+    # right nodes only link left ones, of which a component has the smallest; numbers stand for the texts where they keep their order
+    ends = edges.agg(F.min(left).alias("least"), F.max(left).alias("most")).first() if isinstance(edges.schema[left].dataType, IntegralType) else None
+    coded = ends is not None and ends["least"] is not None and 0 <= ends["least"] and ends["most"] < 10**17
+    whole = isinstance(edges.schema[right].dataType, IntegralType)
+    found = sharing_components(edges.select((digits_code(F.col(left)) if coded else a).alias("u"), (F.col(right) if whole else b).alias("p")))
+    text = code_digits if coded else lambda c: c
+    return found.select(text(F.col("node")).alias(left), F.concat(F.lit("doc:"), text(F.col("component"))).alias("component"))
 
 
 def pack_components(sizes: list[tuple], ratios: dict[str, float]) -> dict:

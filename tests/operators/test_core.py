@@ -19,6 +19,33 @@ def test_components(spark):
     assert G.connected_components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_component_of(spark):
+    draw = random.Random(4)
+    numbers = [draw.choice([draw.randrange(40), draw.randrange(10 ** draw.randint(1, 17))]) for _ in range(60)] + [0, 1, 10, 100, 10**17 - 1]
+    pairs = [(draw.choice(numbers), draw.choice([None, *range(70)])) for _ in range(150)] + [(None, 3), (7, None), (0, 500), (10, 500), (1, 501), (100, 501)] + [(k, 1000 + j) for k in range(2000, 2030) for j in (k, k + 1)]
+
+    def want(pairs):
+        up = {}
+        def top(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+        for u, p in pairs:
+            if u is not None and p is not None:
+                up[top(f"doc:{u}")] = top(f"src:{p}")
+        low = {}
+        for u in [x for x in up if x.startswith("doc:")]:
+            low[top(u)] = min(low.get(top(u), u), u)
+        return {u[4:]: low[top(u)] for u in up if u.startswith("doc:")}
+
+    for more in ([], [(-5, 1)], [(10**17, 2)]):
+        frame = spark.createDataFrame(pairs + more, "a long, b int")
+        for f in (frame, frame.withColumn("a", F.col("a").cast("string")), frame.withColumn("b", F.concat(F.lit("x"), "b"))):
+            rows = D.component_of(f, "a", "b").collect()
+            assert {r.a: r.component for r in rows} == want(pairs + more) and len(rows) == len(want(pairs + more))
+    assert D.component_of(frame.where("false"), "a", "b").collect() == []
+
+
 def test_greedy_fill(spark):
     def fill(costs, budget):
         return spark.range(1).select(R.greedy_fill(F.array(*map(F.lit, costs)), budget).alias("x")).first().x
