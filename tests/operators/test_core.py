@@ -46,6 +46,16 @@ def test_component_of(spark):
     assert D.component_of(frame.where("false"), "a", "b").collect() == []
 
 
+def test_groups_need_no_rounds(spark, monkeypatch):
+    """Nodes of one group each, and groups whose centres agree, are labelled without contraction."""
+    monkeypatch.setattr(G, "connected_components", None)
+    frame = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") % 70).alias("b"))
+    want = {}
+    for i in range(3000):
+        want[i % 70] = min(want.get(i % 70, str(i)), str(i))
+    assert {r.a: r.component for r in D.component_of(frame, "a", "b").collect()} == {str(i): f"doc:{want[i % 70]}" for i in range(3000)}
+
+
 def test_greedy_fill(spark):
     def fill(costs, budget):
         return spark.range(1).select(R.greedy_fill(F.array(*map(F.lit, costs)), budget).alias("x")).first().x
