@@ -63,9 +63,25 @@ def report_counters(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(by or [])).agg(F.count("*").alias("total"), count("review"), count("unassessed"), count("invalid"))
 
 
+#: References in a partition of ``document_counts``, and parts into which the values of one document are dealt.
+REFS, PARTS = 500_000, 16
+
+
 def document_counts(refs: DataFrame, key: list[str], target: str, claim: str) -> DataFrame:
-    """``targets`` (distinct) and ``claims`` of each document."""
-    return refs.groupBy(*key).agg(F.countDistinct(target).alias("targets"), F.countDistinct(claim).alias("claims"))
+    """``targets`` (distinct) and ``claims`` of each document.
+
+    Tasks hold about ``REFS`` references each, however many there are; the
+    values of a large document are counted in ``PARTS`` parts.
+    """
+    n = max(1, -(-refs.count() // REFS))
+
+    def distinct(value: str, name: str, other: str) -> DataFrame:
+        rows = refs.select(*key, F.col(value).alias("quillstone_v"), F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("int").alias("quillstone_part"))
+        once = rows.repartition(n, *key, "quillstone_part").distinct()
+        return once.groupBy(*key, "quillstone_part").agg(F.count("quillstone_v").alias(name)).select(*key, name, F.lit(0).cast("long").alias(other))
+
+    parts = distinct(target, "targets", "claims").unionByName(distinct(claim, "claims", "targets"))
+    return parts.repartition(n, *key).groupBy(*key).agg(F.sum("targets").alias("targets"), F.sum("claims").alias("claims"))
 
 
 def shared(rows: DataFrame, key: str, resolve) -> DataFrame:
