@@ -7,27 +7,37 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quillstone.functions import text as T
 
 
+#: Terms of queries, counted once for each query, up to which they are sent to all tasks, and documents in a partition that they meet.
+SENT, DOCS = 2**18, 2_000
+
+
 def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, group: str | None = None, mode: str = "letter_digit") -> DataFrame:
     """``query_id, doc_id, score`` of all pairs that share a term.
 
     ``queries``: ``query_id, text``; ``corpus``: ``doc_id, text``; with
     ``group`` both have that column and every statistic is taken within it.
-    Terms of a query count as often as they occur.  The corpus is tokenised
-    once and only its query terms are joined.
+    Terms of a query count as often as they occur.  Of the corpus only
+    its query terms are joined.  Up to ``SENT`` terms of queries without groups
+    go to the documents, which are dealt out by ``doc_id`` first, so pairs are
+    added up where they arise; else all is dealt out by term.
     """
     by = [group] if group else []
-    docs = corpus.select(*by, "doc_id", T.tokens(F.col("text"), mode).alias("words")).withColumn("dl", F.size("words"))
-    sizes = docs.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = T.tokens(F.col("text"), mode)
+    sizes = corpus.select(*by, F.size(words).alias("dl")).groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = queries.select(*by, "query_id", F.explode(T.tokens(F.col("text"), mode)).alias("term")).groupBy(*by, "query_id", "term").agg(F.count("*").alias("qtf"))
+    few = not by and terms.limit(SENT + 1).count() <= SENT
+    sent = F.broadcast if few else lambda x: x
+    docs = (corpus.repartition(max(1, -(-corpus.count() // DOCS)), "doc_id") if few else corpus).select(*by, "doc_id", words.alias("words")).withColumn("dl", F.size("words"))
     wanted = terms.select(*by, "term").distinct()
-    tf = docs.select(*by, "doc_id", "dl", F.explode("words").alias("term")).join(wanted, [*by, "term"], "left_semi").groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    found = docs.select(*by, "doc_id", "dl", F.explode("words").alias("term")).join(sent(wanted), [*by, "term"], "left_semi")
+    tf = found.groupBy(*by, "doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, [*by, "term"])
+    hits = tf.join(sent(df), [*by, "term"])
     hits = hits.join(sizes, by) if by else hits.crossJoin(F.broadcast(sizes))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avgdl", F.lit(1e-6))))
     weighed = hits.select(*by, "term", "doc_id", weight.alias("weight"))
-    return terms.join(weighed, [*by, "term"]).groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
+    return sent(terms).join(weighed, [*by, "term"]).groupBy(*by, "query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], digits: int = 6) -> DataFrame:

@@ -73,6 +73,22 @@ def test_chunks(spark):
     assert merged[0] == "Kort rubrik som är lång\n\n" + "x" * 130
 
 
+def test_bm25_pairs_are_not_shuffled(spark, monkeypatch):
+    draw = random.Random(6)
+    text = lambda: " ".join(draw.choice("abcdefghijklmnop") * draw.randint(1, 2) for _ in range(draw.randint(0, 12)))
+    q = spark.createDataFrame([(i, text()) for i in range(12)] + [(50, None)], "query_id long, text string")
+    d = spark.createDataFrame([(i, text()) for i in range(300)] + [(400, None)], "doc_id long, text string")
+    monkeypatch.setattr(R, "DOCS", 40)
+    here = R.bm25(q, d)
+    plan = here._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\((?:query_id|term)#\d+L?, doc_id", plan) and "hashpartitioning(doc_id" in plan and here.rdd.getNumPartitions() == 8
+    monkeypatch.setattr(R, "SENT", 0)
+    dealt = R.bm25(q, d)
+    assert "hashpartitioning(query_id" in dealt._jdf.queryExecution().executedPlan().toString()
+    one, two = ({(r.query_id, r.doc_id): round(r.score, 9) for r in x.collect()} for x in (here, dealt))
+    assert one == two and len(one) > 1000
+
+
 def test_bm25_multiplicity(spark):
     q = spark.createDataFrame([(1, "a a b")], "query_id long, text string")
     d = spark.createDataFrame([(1, "a b c"), (2, "b"), (3, "x")], "doc_id long, text string")
